@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.llm import clusters, sketch, topn
+from starloom.llm import clusters, mixing, packing, rules, sketch, topn
+from starloom.llm.tokens import n_tokens
 from starloom.operators.skew import latest
 from starloom.runtime import table
 
@@ -46,6 +47,30 @@ def p5_found(spark, d):
     ).select("kind", "halo_id")
 
 
+def _packed(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return packing.pack(docs.select("doc_id", n_tokens("text").alias("tokens")), "doc_id", "tokens", 4096)
+
+
+def _subjects(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    names = [r[0] for r in table(spark, d, "subject_areas").select("subject").distinct().collect()]
+    return rules.subjects_of(docs, rules.fit(docs, table(spark, d, "subject_labels"), names))
+
+
+def _mixable(spark, d):
+    """Documents with tokens, source, language and their foremost subject as topic."""
+    docs = table(spark, d, "documents")
+    best = _subjects(spark, d).groupBy("doc_id").agg(F.max(F.struct("share", "subject"))["subject"].alias("topic"))
+    counted = docs.select("doc_id", mixing.source_name("source").alias("source"), mixing.language("lang").alias("lang"), n_tokens("text").alias("tokens"))
+    return counted.join(best, "doc_id", "left").withColumn("topic", F.coalesce("topic", F.lit("none")))
+
+
+def p8_corpus(spark, d):
+    """Documents and shares of text by subject."""
+    return _subjects(spark, d).groupBy("subject").agg(F.count(F.lit(1)).alias("documents"), F.sum("share").alias("texts"))
+
+
 QUERIES = {
     "p3_found": lambda s, d: clusters.members(table(s, d, "particles")),
     "p3_clusters": lambda s, d: clusters.describe(table(s, d, "particles")),
@@ -53,6 +78,14 @@ QUERIES = {
     "p4_ranked": lambda s, d: topn.heaviest_progenitors(_nodes(s, d), 10),
     "p5_found": p5_found,
     "p5_percentiles": p5_percentiles,
+    "p6_found": lambda s, d: _packed(s, d).where("n_pieces > 1").select("doc_id").distinct(),
+    "p6_containers": lambda s, d: packing.fills(_packed(s, d)),
+    "p6_report": lambda s, d: packing.report(_packed(s, d)),
+    "p7_found": lambda s, d: mixing.short_sources(_mixable(s, d), table(s, d, "mix_targets")),
+    "p7_report": lambda s, d: mixing.report(_mixable(s, d), table(s, d, "mix_targets")),
+    "p7_mix": lambda s, d: mixing.mix(_mixable(s, d), table(s, d, "mix_targets"))[0],
+    "p8_found": lambda s, d: _subjects(s, d).select("doc_id", "subject"),
+    "p8_corpus": p8_corpus,
 }
 
 _NODES = "n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY halo_id ORDER BY loaded_at DESC) AS rn FROM merger_nodes) WHERE rn = 1)"
