@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from starloom.queries import skewed
+from starloom.queries import fields, scalars, skewed, structure
 
-_MODULES = [skewed]
+_MODULES = [skewed, scalars, structure, fields]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
