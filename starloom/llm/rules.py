@@ -36,6 +36,7 @@ MAX_DOCS = 50_000
 MAX_ITEMS = 30_000
 LONGEST = 3
 MIN_COUNT = 5
+MIN_SUPPORT = 1e-4  # of the sentences; the larger of both holds
 MIN_LIFT = 1.5
 MIN_CONF = 0.5
 SURE = 0.97  # a rule this sure isn't specialised
@@ -74,13 +75,22 @@ def sentences(text: str | None) -> list[tuple[frozenset[str], int]]:
 # ---- mining
 
 
-def patterns(prefixes: list[tuple[tuple[int, ...], np.ndarray]], own: set[int], least: float) -> Iterator[tuple[tuple[int, ...], np.ndarray]]:
-    """Frequent itemsets whose last item is in ``own``, by growing conditional prefixes.
+def confidence(v: np.ndarray, prior: np.ndarray) -> tuple[int, float]:
+    """The foremost class of class counts, and its share, drawn towards the prior by one count."""
+    k = int(v.argmax())
+    return k, float((v[k] + prior[k]) / (v.sum() + 1.0))
 
-    ``prefixes`` are item tuples in ascending rank with class counts.
+
+def patterns(
+    prefixes: list[tuple[tuple[int, ...], np.ndarray]], own: set[int], least: float, prior: np.ndarray, single: np.ndarray
+) -> Iterator[tuple[tuple[int, ...], np.ndarray]]:
+    """Frequent itemsets whose last item is in ``own`` and that make a rule, by growing conditional prefixes.
+
+    ``prefixes`` are item tuples in ascending rank with class counts; ``single`` has the confidence of each item.
+    An itemset no surer than one of its items, or than the suffix it was grown from, is redundant and not given.
     """
 
-    def grow(base: list[tuple[tuple[int, ...], np.ndarray]], suffix: tuple[int, ...]):
+    def grow(base: list[tuple[tuple[int, ...], np.ndarray]], suffix: tuple[int, ...], beat: float):
         totals: dict[int, np.ndarray] = {}
         for items, v in base:
             for i in items:
@@ -89,31 +99,31 @@ def patterns(prefixes: list[tuple[tuple[int, ...], np.ndarray]], own: set[int],
                 else:
                     totals[i] = v
         for i, v in totals.items():
-            if v.sum() < least or (not suffix and i not in own):
+            n = v.sum()
+            if n < least or (not suffix and i not in own):
                 continue
             found = (i, *suffix)
-            yield found, v
-            if len(found) < LONGEST and v.max() < SURE * v.sum():
+            k, conf = confidence(v, prior)
+            bar = max(beat, single[i] + GAIN) if suffix else 0.0
+            if conf >= max(bar, MIN_CONF, MIN_LIFT * prior[k]):
+                yield found, v
+            if len(found) < LONGEST and v.max() < SURE * n:
                 cond: dict[tuple[int, ...], np.ndarray] = {}
                 for items, w in base:
                     if i in items:
                         head = items[: items.index(i)]
                         if head:
                             cond[head] = cond[head] + w if head in cond else w
-                yield from grow(list(cond.items()), found)
+                yield from grow(list(cond.items()), found, max(bar, conf + GAIN if conf >= MIN_CONF else 0.0, single[i] + GAIN))
 
-    yield from grow(prefixes, ())
+    yield from grow(prefixes, (), 0.0)
 
 
 def prune(found: dict[tuple[int, ...], np.ndarray], prior: np.ndarray) -> dict[tuple[int, ...], tuple[int, float]]:
     """Rules itemset -> (class, confidence), without those no surer than a rule on a subset."""
     rules: dict[tuple[int, ...], tuple[int, float]] = {}
     for items in sorted(found, key=len):
-        v = found[items]
-        k = int(v.argmax())
-        conf = float((v[k] + prior[k]) / (v.sum() + 1.0))
-        if conf < MIN_CONF or conf < MIN_LIFT * prior[k]:
-            continue
+        k, conf = confidence(found[items], prior)
         below = [rules.get(c) for n in range(1, len(items)) for c in itertools.combinations(items, n)]
         if all(r is None or conf >= r[1] + GAIN for r in below):
             rules[items] = (k, conf)
@@ -186,18 +196,21 @@ def split(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "labels", F.make_valid_utf8("text").alias("text")).mapInPandas(run, "doc_id bigint, labels array<string>, words array<string>, n int")
 
 
-def mine(rows: DataFrame, n_classes: int, least: int = MIN_COUNT) -> tuple[dict[str, int], dict[tuple[int, ...], tuple[int, float]]]:
+def mine(rows: DataFrame, n_classes: int, least: float = MIN_COUNT) -> tuple[dict[str, int], dict[tuple[int, ...], tuple[int, float]]]:
     """Item ranks and rules from (words, target: class weights)."""
     spark = rows.sparkSession
     vec = [F.sum(F.element_at("target", i + 1)).alias(f"c{i}") for i in range(n_classes)]
-    prior = np.array(rows.agg(*vec).first(), float)
+    *sums, n_rows = rows.agg(*vec, F.count(F.lit(1))).first()
+    prior = np.array([x or 0.0 for x in sums], float)
     prior = prior / max(prior.sum(), 1e-9)
+    least = max(least, MIN_SUPPORT * n_rows)
     total = sum((F.col(f"c{i}") for i in range(n_classes)), F.lit(0.0))
     lift = F.greatest(*[F.col(f"c{i}") / total / float(max(p, 1e-6)) for i, p in enumerate(prior)], F.lit(0.0))
     items = rows.select(F.explode("words").alias("word"), "target").groupBy("word").agg(*vec)
     items = items.withColumn("total", total).where(F.col("total") >= least).where(lift >= MIN_LIFT)
-    flist = items.orderBy(F.desc("total"), "word").limit(MAX_ITEMS).select("word").toPandas()["word"]
-    rank = {w: i for i, w in enumerate(flist)}
+    flist = items.orderBy(F.desc("total"), "word").limit(MAX_ITEMS).toPandas()
+    rank = {w: i for i, w in enumerate(flist["word"])}
+    single = np.array([confidence(v, prior)[1] for v in flist[[f"c{i}" for i in range(n_classes)]].to_numpy(float)])
     groups = 4 * parallelism(spark)
     shared = spark.sparkContext.broadcast(rank)
 
@@ -221,7 +234,7 @@ def mine(rows: DataFrame, n_classes: int, least: int = MIN_COUNT) -> tuple[dict[
     def grow(key, pdf):
         base = [(tuple(int(i) for i in p), v) for p, v in zip(pdf["prefix"], pdf[[f"c{i}" for i in range(n_classes)]].to_numpy())]
         own = {i for p, _ in base for i in p if i % groups == key[0]}
-        got = [(list(i), *v) for i, v in patterns(base, own, least)]
+        got = [(list(i), *v) for i, v in patterns(base, own, least, prior, single)]
         return pd.DataFrame(got, columns=["items", *[f"c{i}" for i in range(n_classes)]])
 
     found = sent.groupBy("g").applyInPandas(grow, f"items array<int>, {cs}").toPandas()
