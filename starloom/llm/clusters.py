@@ -4,7 +4,8 @@
    are linked and only cells need to be clustered. Cells are counted; hot cells shrink to one row here.
 2. Coarse blocks of cells, each with a border of the neighbouring ones, drop the cells that have no other
    cell in reach and too few records of their own. A block holds a bounded number of cells.
-3. Adjacent cells are joined. Bounding boxes of their records decide most pairs: surely linked, or too far
+3. Adjacent cells are joined, by way of wide cells of two a side: a cell goes to half the wide cells around its
+   own, where it meets up to eight others. Bounding boxes of their records decide most pairs: surely linked, or too far
    apart. Of the rest, small ones compare their records (at most PAIRS), larger ones are quantised again at
    half the side, until every pair is decided.
 4. Minimum labels are propagated over linked cells to convergence.
@@ -106,16 +107,27 @@ def _compare(pairs: DataFrame, points: DataFrame, keys: list[str], link: float)
 
 def _linked(points: DataFrame, cells: DataFrame, n: int, box: float, link: float, scratch: Scratch) -> DataFrame:
     """(u, v) of adjacent cells with a pair of records within the linking length."""
-    side = box / n
-    steps = [o for o in itertools.product(range(-REACH, REACH + 1), repeat=3) if o > (0, 0, 0)]
-    steps = [o for o in steps if sum((max(0, abs(i) - 1) * side) ** 2 for i in o) <= link * link * 1.000001]
+    side, wide, half = box / n, 2 * box / n, n // 2
+    steps = [o for o in itertools.product((-1, 0, 1), repeat=3) if o >= (0, 0, 0)]
     offsets = F.array(*[F.struct(*[F.lit(i).cast("long").alias(f"d{a}") for a, i in zip(AXES, o)]) for o in steps])
-    from_a = _side(cells, "a").withColumn("cell", F.col("cell_a")).withColumn("o", F.explode(offsets))
-    raw = [c + F.col(f"o.d{a}") for a, c in zip(AXES, _axes(n))]
-    to = [F.pmod(r, F.lit(n)) for r in raw]
-    shift = [(F.floor(r / n) * box).cast("double").alias(f"s{a}") for a, r in zip(AXES, raw)]
-    probes = from_a.select(*[f"{c}_a" for c in cells.columns], ((to[0] * n + to[1]) * n + to[2]).alias("cell_b"), *shift)
-    pairs = _decide(probes.join(_side(cells, "b"), "cell_b"), link)
+    double = [F.floor(c / 2).cast("long").alias(f"w{a}") for a, c in zip(AXES, _axes(n))]
+    coarse = cells.select("*", *double)
+    home = ((F.col("wx") * half + F.col("wy")) * half + F.col("wz")).alias("wide")
+    from_a = coarse.select(*[F.col(c).alias(f"{c}_a") for c in cells.columns], "wx", "wy", "wz", F.explode(offsets).alias("o"))
+    gap = F.lit(0.0)  # from the box of a cell's records to the wide cell it is sent to
+    for a in AXES:
+        up = (F.col(f"w{a}") + 1) * wide - F.col(f"h{a}_a")
+        down = F.col(f"l{a}_a") - F.col(f"w{a}") * wide
+        g = F.greatest(F.lit(0.0), F.when(F.col(f"o.d{a}") > 0, up).when(F.col(f"o.d{a}") < 0, down).otherwise(0.0))
+        gap = gap + g * g
+    from_a = from_a.where(gap <= link * link * (1 + 1e-9))
+    raw = [F.col(f"w{a}") + F.col(f"o.d{a}") for a in AXES]
+    to = [F.pmod(r, F.lit(half)) for r in raw]
+    shift = [(F.floor(r / half) * box).cast("double").alias(f"s{a}") for a, r in zip(AXES, raw)]
+    own = (F.col("o.dx") == 0) & (F.col("o.dy") == 0) & (F.col("o.dz") == 0)
+    probes = from_a.select(*[f"{c}_a" for c in cells.columns], own.alias("own"), ((to[0] * half + to[1]) * half + to[2]).alias("wide"), *shift)
+    met = probes.join(coarse.select(*[F.col(c).alias(f"{c}_b") for c in cells.columns], home), "wide")
+    pairs = _decide(met.where(~F.col("own") | (F.col("cell_a") < F.col("cell_b"))), link)
     pairs = scratch.keep(pairs.select("cell_a", "cell_b", "n_a", "n_b", *[f"s{a}" for a in AXES], (F.col("far2") <= F.lit(link * link)).alias("sure")))
     found = [pairs.where("sure").select("cell_a", "cell_b")]
     open_ = pairs.where("not sure")
@@ -151,8 +163,8 @@ def _linked(points: DataFrame, cells: DataFrame, n: int, box: float, link: float
 def grid_clusters(df: DataFrame, link: float, box: float, least: int) -> tuple[DataFrame, DataFrame]:
     """Members (cluster_id, id, cell, x, y, z) and cells (cluster_id, cell, n) of all clusters of at least
     ``least`` distinct ids; cluster_id is the smallest id. The box is periodic and at least 3 links wide."""
-    n = math.ceil(box * math.sqrt(3) / link)
-    if n < 2 * REACH + 1:
+    n = 2 * math.ceil(box * math.sqrt(3) / link / 2)
+    if n < 6:
         raise ValueError("the box must be at least three linking lengths wide")
     scratch = Scratch(df.sparkSession, "clusters")
     at = wrapped(df, box).withColumn("cell", _cell(n, box))
