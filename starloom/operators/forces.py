@@ -59,7 +59,7 @@ def direct(targets: DataFrame, sources: DataFrame, eps: float, box: float | None
         return targets.mapInPandas(near, OUT)
     nt, ns = -(-targets.count() // TILE), -(-m // TILE)
     t = targets.withColumn("ti", F.pmod(F.xxhash64("id"), F.lit(nt))).withColumn("si", F.explode(F.sequence(F.lit(0), F.lit(ns - 1))))
-    s = sources.withColumn("si", F.pmod(F.xxhash64("id"), F.lit(ns)).cast("int")).withColumn("ti", F.explode(F.sequence(F.lit(0), F.lit(nt - 1))).cast("long"))
+    s = sources.withColumn("si", F.pmod(F.xxhash64("id"), F.lit(ns)).cast("int")).withColumn("ti", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nt - 1).cast("long"))))
 
     def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return _frame(a["id"].to_numpy(), _kernel(a[["x", "y", "z"]].to_numpy(float), a["id"].to_numpy(), b[cols[1:]].to_numpy(float), b["id"].to_numpy(), eps, box))
