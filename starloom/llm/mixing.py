@@ -7,7 +7,8 @@ it lacks goes to the others in proportion to their weights. Documents are then s
 of repetitions of their cell, systematically in hash order, so a cell's number of copies is right to one.
 
 Sources count without outer blanks and in lower case. Documents of unlisted or null source, and texts without
-tokens, are never sampled; they count in the total. Null languages and topics are values of their own.
+tokens, are never sampled; they count in the total. Null and empty languages and topics
+are one value.
 """
 
 from __future__ import annotations
@@ -113,7 +114,8 @@ def mix(docs: DataFrame, targets: DataFrame) -> tuple[DataFrame, pd.DataFrame]:
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     want = targets.select(source_name("source").alias("source"), "weight", "max_repeats").toPandas()
-    docs = scratch.keep(docs.select("doc_id", "source", "lang", "topic", "tokens"))
+    named = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "topic")]
+    docs = scratch.keep(docs.select("doc_id", "source", *named, "tokens"))
     total = float(docs.agg(F.sum("tokens")).first()[0] or 0)
     listed = docs.where(F.col("source").isin(want["source"].to_list()) & (F.col("tokens") > 0))
     per = listed.groupBy("source").agg(F.sum("tokens").alias("all"), F.avg("tokens").alias("mean")).toPandas().set_index("source")

@@ -86,12 +86,12 @@ def pack(df: DataFrame, key: str, size: str, capacity: int = 4096) -> DataFrame:
 
     ``size`` counts units of an item (tokens); items of null, zero or negative size need no container and have
     one row with container null. Repeated keys count as items of their own if their rows differ in size, and
-    once if they are equal. An item up to the capacity is never split.
+    once if they are equal. Rows without key are left out. An item up to the capacity is never split.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "packing")
     n = F.coalesce(F.col(size), F.lit(0)).cast("long")
-    items = scratch.keep(df.select(F.col(key).alias("key"), n.alias("n")).distinct())
+    items = scratch.keep(df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), n.alias("n")).distinct())
     whole = F.expr(f"CAST(n div {capacity} AS INT)")
     cut = items.where("n > 0").select("key", "n", whole.alias("full"), (F.col("n") % capacity).alias("rest"))
     cut = cut.withColumn("n_pieces", F.col("full") + F.when(F.col("rest") > 0, 1).otherwise(0))

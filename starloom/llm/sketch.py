@@ -6,6 +6,8 @@ of ROWS signed rows of WIDTH counters. A sketch is the relation (group, level, r
 of separate loads are merged by adding up counters, and rows are deleted by adding them with weight -1.
 Ranks are inverted by descending the levels, a counter estimate deciding between the two halves.
 
+Infinite values count at the ends. Groups whose key is null are groups of their own.
+
 Error: ranks are off by at most about 3 * sqrt(F2 / WIDTH) per level below EXACT, F2 being the sum of squared
 counts of that level's prefixes; with 1024 counters about one percent of the rank at worst, and none for
 groups of few values. Values come out as the middle of the last prefix, 0.04 percent off.
@@ -40,7 +42,8 @@ def encode(c: str) -> Column:
 def decode(code: np.ndarray) -> np.ndarray:
     """Middle value of a code."""
     size = np.where(code > HALF, code - HALF - 1, HALF - 1 - code)
-    return np.where(code == HALF, 0.0, np.sign(code - HALF) * np.exp((size + 0.5) / STEPS - 750.0))
+    with np.errstate(over="ignore"):
+        return np.where(code == HALF, 0.0, np.sign(code - HALF) * np.exp((size + 0.5) / STEPS - 750.0))
 
 
 def sketch(df: DataFrame, group: list[str], value: str, weight: Column | None = None) -> DataFrame:
@@ -112,7 +115,7 @@ def quantiles(counters: DataFrame, group: list[str], qs: list[float]) -> DataFra
 
     def run(keys, pdf: pd.DataFrame) -> pd.DataFrame:
         n, codes = _invert(pdf, q)
-        data = {g: [k] * len(codes) for g, k in zip(group, keys)}
+        data = {g: [None if pd.isna(k) else k] * len(codes) for g, k in zip(group, keys)}
         return pd.DataFrame(data | {"q": q[: len(codes)], "n": [n] * len(codes), "value": decode(codes)})
 
     return counters.groupBy(*group).applyInPandas(run, schema)
@@ -121,8 +124,7 @@ def quantiles(counters: DataFrame, group: list[str], qs: list[float]) -> DataFra
 def outliers(df: DataFrame, group: list[str], value: str, factor: float, quartiles: DataFrame) -> DataFrame:
     """Rows whose positive value is above factor times the upper quartile, or below the lower quartile divided
     by factor, of their group. ``quartiles`` has (group, q, value) at 0.25 and 0.75."""
-    wide = quartiles.groupBy(*group).agg(
-        F.max(F.when(F.col("q") == 0.25, F.col("value"))).alias("_lower"), F.max(F.when(F.col("q") == 0.75, F.col("value"))).alias("_upper")
-    )
-    v = F.col(value)
-    return df.where((v > 0) & ~F.isnan(v)).join(wide, group).where((v > F.col("_upper") * factor) | (v < F.col("_lower") / factor)).drop("_lower", "_upper")
+    low, high = F.max(F.when(F.col("q") == 0.25, F.col("value"))), F.max(F.when(F.col("q") == 0.75, F.col("value")))
+    wide = quartiles.groupBy(*group).agg(F.struct(low.alias("low"), high.alias("high")).alias("_quartiles"))
+    v, q = F.col(value), F.col("_quartiles")
+    return df.drop("_quartiles").where((v > 0) & ~F.isnan(v)).join(wide, group).where((v > q["high"] * factor) | (v < q["low"] / factor)).drop("_quartiles")
