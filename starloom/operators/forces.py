@@ -214,8 +214,8 @@ def mesh_force(bodies: DataFrame, n: int, box: float) -> DataFrame:
         raise ValueError("a broadcast mesh is limited to 32 cells a side")
     scratch = Scratch(bodies.sparkSession, "mesh")
     delta = gr.contrast(gr.assign_cic(bodies, n, box), n)
-    mean = bodies.agg((F.sum("mass") / box**3).alias("mean"))
-    modes = scratch.keep(gr.transform(delta.join(F.broadcast(mean)).select("ix", "iy", "iz", (F.col("delta") * F.col("mean")).alias("re"), F.lit(0.0).alias("im")), n))
+    mean = float(bodies.agg(F.sum("mass")).first()[0] or 0.0) / box**3
+    modes = scratch.keep(gr.transform(delta.select("ix", "iy", "iz", (F.col("delta") * mean).alias("re"), F.lit(0.0).alias("im")), n))
     k = [gr.mode(F.col(f"i{a}"), n) * (2.0 * math.pi / box) for a in "xyz"]
     k2 = k[0] * k[0] + k[1] * k[1] + k[2] * k[2]
     field = None

@@ -92,8 +92,8 @@ def halo_profiles(df: DataFrame) -> DataFrame:
 def heavy_halos(df: DataFrame, percent: int = 2) -> DataFrame:
     """halo_ids with at least ``percent`` percent of all distinct memberships."""
     per = distinct_counts(memberships(df), ["halo_id"])
-    total = per.agg(F.sum("n_distinct").alias("total"))
-    return per.join(F.broadcast(total)).where(F.col("n_distinct") * 100 >= F.col("total") * percent).select("halo_id")
+    total = per.agg(F.sum("n_distinct")).scalar()
+    return per.where(F.col("n_distinct") * 100 >= total * percent).select("halo_id")
 
 
 def top_snapshots(df: DataFrame, n: int = 3) -> DataFrame:

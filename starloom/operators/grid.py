@@ -54,8 +54,8 @@ def assign_cic(df: DataFrame, n: int, box: float, weight: Column | None = None)
 
 def contrast(rho: DataFrame, n: int) -> DataFrame:
     """(ix, iy, iz, delta) over all n**3 cells, empty ones included (quirk Q22); 0 if there is no mass."""
-    mean = rho.agg((F.coalesce(F.sum("rho"), F.lit(0.0)) / n**3).alias("mean"))
-    whole = cells(rho.sparkSession, n).drop("idx").join(rho, ["ix", "iy", "iz"], "left").join(F.broadcast(mean))
+    mean = rho.agg(F.coalesce(F.sum("rho"), F.lit(0.0)) / n**3).scalar()
+    whole = cells(rho.sparkSession, n).drop("idx").join(rho, ["ix", "iy", "iz"], "left").withColumn("mean", mean)
     delta = F.when(F.col("mean") > 0, (F.coalesce("rho", F.lit(0.0)) - F.col("mean")) / F.col("mean")).otherwise(0.0)
     return whole.select("ix", "iy", "iz", delta.alias("delta"))
 

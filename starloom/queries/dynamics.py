@@ -82,7 +82,8 @@ def system_diagnostics(s, d):
     m, tot = F.col("mass"), F.sum("mass")
     spin = [F.round(F.sum(m * (F.col(p) * F.col(f"v{q}") - F.col(q) * F.col(f"v{p}"))), 3).alias(f"l{a}") for a, p, q in ("xyz", "yzx", "zxy")]
     a = b.agg(F.count(F.lit(1)).alias("n"), F.round(tot, 6).alias("mass"), *[F.round(F.sum(m * F.col(x)) / tot, 6).alias(f"com{x}") for x in "xyz"], *[F.round(F.sum(m * F.col(f"v{x}")), 5).alias(f"p{x}") for x in "xyz"], *spin)
-    return a.join(F.broadcast(_r(fo.energies(b, EPS, L), kinetic=3, potential=3, total=3)))
+    e = fo.energies(b, EPS, L).first()
+    return a.withColumns({c: F.round(F.lit(e[c]), 3) for c in ("kinetic", "potential", "total")})
 
 
 def _field(s, d):
