@@ -140,8 +140,8 @@ def report(docs: DataFrame, targets: DataFrame) -> DataFrame:
     reached = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("reached"), F.max("copies").alias("repeats"))
     plan = spark.createDataFrame(goals, "source string, weight double, max_repeats int, tokens double, capped boolean, goal double")
     got = plan.join(reached, "source", "left").fillna(0, ["reached", "repeats"])
-    whole = got.agg(F.sum("reached").alias("all"))
-    return got.join(F.broadcast(whole)).withColumn("share", F.col("reached") / F.greatest("all", F.lit(1))).drop("all")
+    whole = got.agg(F.sum("reached")).scalar()
+    return got.withColumn("share", F.col("reached") / F.greatest(whole, F.lit(1)))
 
 
 def short_sources(docs: DataFrame, targets: DataFrame) -> DataFrame:
