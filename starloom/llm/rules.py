@@ -11,7 +11,8 @@ sentence belongs to which label, and which speak of something else in passing; t
 with "in passing" as one more class.
 
 The fit uses at most ``MAX_DOCS`` labelled documents, chosen by a hash of doc_id; every document is scored.
-Texts that are null, empty or without known words get no subject; texts of any length are scored whole.
+Texts that are null, empty or without known words get no subject; texts of any length are scored whole. Without
+usable labels there are no rules and no subjects.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ import itertools
 import math
 import re
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from starloom.runtime import Scratch, parallelism
 
-MAX_DOCS = 50_000
+MAX_DOCS = 20_000
 MAX_ITEMS = 30_000
 LONGEST = 3
 MIN_COUNT = 5
@@ -139,25 +139,40 @@ class Model:
     rules: dict[tuple[int, ...], tuple[int, float]]
     share: float = 0.15
 
+    def __post_init__(self) -> None:
+        self.trie: dict = {}  # item -> [rule or None, trie of the items after it]
+        for items, rule in self.rules.items():
+            at = self.trie
+            for i in items[:-1]:
+                at = at.setdefault(i, [None, {}])[1]
+            at.setdefault(items[-1], [None, {}])[0] = (rule[0], math.log(rule[1] / (1 - min(rule[1], 0.999))))
+
     def classify(self, words: frozenset[str], memo: dict | None = None) -> tuple[int, float]:
-        """(class, evidence in log odds) of a sentence; class -1 without matching rule."""
+        """(class, evidence in log odds) of a sentence; class -1 without matching rule. A class's evidence is
+        the sum of its three surest matching rules."""
         if memo is not None and words in memo:
             return memo[words]
-        items = sorted(self.rank[w] for w in words if w in self.rank)
-        score = defaultdict(list)
-        for n in range(1, LONGEST + 1):
-            for c in itertools.combinations(items[:24] if n > 2 else items, n):
-                r = self.rules.get(c)
-                if r:
-                    score[r[0]].append(math.log(r[1] / (1 - min(r[1], 0.999))))
+        rank = self.rank
+        items = sorted([rank[w] for w in words if w in rank])
+        score: dict[int, list[float]] = {}
+
+        def walk(trie: dict, start: int) -> None:
+            for j in range(start, len(items)):
+                node = trie.get(items[j])
+                if node:
+                    if node[0]:
+                        score.setdefault(node[0][0], []).append(node[0][1])
+                    if node[1]:
+                        walk(node[1], j + 1)
+
+        walk(self.trie, 0)
         best = (-1, 0.0)
-        for k, e in score.items():
-            e.sort(reverse=True)
-            total = sum(e[:3])
+        for k, e in sorted(score.items()):
+            total = sum(e) if len(e) < 4 else sum(sorted(e)[-3:])
             if total > best[1]:
                 best = (k, total)
         if memo is not None:
-            if len(memo) > 100_000:
+            if len(memo) > 20_000:
                 memo.clear()
             memo[words] = best
         return best
@@ -193,7 +208,8 @@ def split(docs: DataFrame) -> DataFrame:
             out = [(d, ls, sorted(w), n) for d, ls, t in zip(pdf["doc_id"], pdf["labels"], pdf["text"]) for w, n in sentences(t)]
             yield pd.DataFrame(out, columns=["doc_id", "labels", "words", "n"])
 
-    return docs.select("doc_id", "labels", F.make_valid_utf8("text").alias("text")).mapInPandas(run, "doc_id bigint, labels array<string>, words array<string>, n int")
+    texts = docs.where("doc_id is not null").select("doc_id", "labels", F.make_valid_utf8("text").alias("text"))
+    return texts.mapInPandas(run, "doc_id bigint, labels array<string>, words array<string>, n int")
 
 
 def mine(rows: DataFrame, n_classes: int, least: float = MIN_COUNT) -> tuple[dict[str, int], dict[tuple[int, ...], tuple[int, float]]]:
@@ -306,7 +322,8 @@ def calibrate(bands: pd.DataFrame) -> float:
 
 
 def subjects_of(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, subject, share) of every document, one row for each subject it is about."""
+    """(doc_id, subject, share) of every document, one row for each subject it is about; of rows with the same
+    doc_id the greater share. Rows without doc_id are left out."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(frames):
@@ -319,4 +336,6 @@ def subjects_of(docs: DataFrame, model: Model) -> DataFrame:
                 out += [(d, m.classes[k], float(share[k])) for k in np.flatnonzero(share >= m.share)]
             yield pd.DataFrame(out, columns=["doc_id", "subject", "share"])
 
-    return docs.select("doc_id", F.make_valid_utf8("text").alias("text")).mapInPandas(run, "doc_id bigint, subject string, share double")
+    texts = docs.where("doc_id is not null").select("doc_id", F.make_valid_utf8("text").alias("text"))
+    found = texts.mapInPandas(run, "doc_id bigint, subject string, share double")
+    return found.groupBy("doc_id", "subject").agg(F.max("share").alias("share"))
