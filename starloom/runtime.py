@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+_RUNS: list[Scratch] = []
 
 
 def session(master: str = "local[8]", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -47,13 +48,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables of one operator run. ``keep`` writes and reads back; ``drop`` deletes a superseded one."""
+    """Tables of one operator run. ``keep`` writes and reads back; ``drop`` deletes a superseded one. What is left
+    is what results still read; it goes with :func:`clear`, at the latest when the process ends."""
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/starloom-{what}-{uuid.uuid4().hex[:12]}"
         self._paths: dict[int, tuple[DataFrame, str]] = {}
         self._n = 0
+        _RUNS.append(self)
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{self._n}"
@@ -74,5 +77,18 @@ class Scratch:
         self.drop(*[t for t, _ in self._paths.values()])
 
 
+@atexit.register
+def clear() -> None:
+    """Deletes the scratch tables of all runs so far; results not yet written can't be read any more."""
+    while _RUNS:
+        run = _RUNS.pop()
+        try:
+            jvm = run.spark._jvm
+            path = jvm.org.apache.hadoop.fs.Path(run.base)
+            path.getFileSystem(run.spark._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # noqa: BLE001 - the session may have ended
+            pass
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
