@@ -1,4 +1,4 @@
-"""Connected components by minimum labels: hooking onto neighbours and roots, and pointer jumping."""
+"""Connected components by minimum labels: hooking, pointer jumping, contraction."""
 
 from __future__ import annotations
 
@@ -9,29 +9,45 @@ from starloom.operators.skew import lookup
 from starloom.runtime import Scratch
 
 
+def _roots(to: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, to) with every pointer followed to its end; pointers never go up, so their ends are fixed points."""
+    n = to.count()
+    while True:
+        ahead = to.select(F.col("id").alias("to"), F.col("to").alias("ahead"))
+        after = scratch.keep(lookup(to, ahead, "to", n, "inner").select("id", F.col("ahead").alias("to"), (F.col("ahead") < F.col("to")).alias("moved")))
+        scratch.drop(to)
+        to = after.select("id", "to")
+        if not after.where("moved").limit(1).count():
+            return to
+
+
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, label) for every end of (u, v); label is the smallest id of the component.
 
-    Each round a node takes the least label among its neighbours, hands it to the root it had before, and
-    then takes its label's label, so chains close in about the logarithm of their length. All messages are
-    minima, merged before they are shuffled; reads of a popular label go through :func:`lookup`.
+    Each round every node points to the least of itself and its neighbours; pointers are followed to their
+    ends, and the graph is contracted to the links between different ends. Rounds therefore handle ever fewer
+    nodes and links. Minima are merged before they are shuffled, and reads of a popular end go through
+    :func:`lookup`. At last the rounds' pointers are chained, the smallest table first.
     """
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    both = scratch.keep(both.where("u is not null and v is not null").distinct())
-    n_edges = both.count()
-    state = scratch.keep(both.select(F.col("u").alias("id")).distinct().withColumn("label", F.col("id")))
-    n = state.count()
-    while True:
-        seen = lookup(both, state.select(F.col("id").alias("v"), F.col("label").alias("near")), "v", n_edges, "inner")
-        least = seen.groupBy(F.col("u").alias("id")).agg(F.min("near").alias("near"))
-        hooked = scratch.keep(state.join(least, "id").select("id", "label", F.least("label", "near").alias("mine")))
-        roots = hooked.where("mine < label").groupBy(F.col("label").alias("id")).agg(F.min("mine").alias("told"))
-        told = scratch.keep(hooked.join(roots, "id", "left").select("id", "label", F.least("mine", "told").alias("to")))
-        ahead = told.select(F.col("id").alias("to"), F.col("to").alias("ahead"))
-        after = scratch.keep(
-            lookup(told, ahead, "to", n, "inner").select("id", F.least("to", "ahead").alias("label"), (F.least("to", "ahead") < F.col("label")).alias("moved"))
-        )
-        scratch.drop(state, hooked, told)
-        state = after.select("id", "label")
-        if not after.where("moved").limit(1).count():
-            return state
+    ends = edges.where("u is not null and v is not null").select("u", "v")
+    both = scratch.keep(ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    nodes = both.select(F.col("u").alias("id")).distinct()
+    links, maps = both.where("u <> v"), []
+    n = links.count()
+    while n:
+        least = links.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("near"))
+        to = _roots(scratch.keep(least.select("id", F.least("id", "near").alias("to"))), scratch)
+        maps.append(to)
+        moved = lookup(links, to.select(F.col("id").alias("u"), F.col("to").alias("ru")), "u", n, "inner")
+        moved = lookup(moved, to.select(F.col("id").alias("v"), F.col("to").alias("rv")), "v", n, "inner")
+        links = scratch.keep(moved.where("ru <> rv").select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct())
+        n = links.count()
+    label = None
+    for to in reversed(maps):
+        if label is not None:
+            further = label.select(F.col("id").alias("to"), F.col("to").alias("end"))
+            to = scratch.keep(lookup(to, further, "to").select("id", F.coalesce("end", "to").alias("to")))
+        label = to
+    if label is None:
+        return nodes.withColumn("label", F.col("id"))
+    return nodes.join(label, "id", "left").select("id", F.coalesce("to", "id").alias("label"))
