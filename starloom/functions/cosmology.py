@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Speed of light in km/s; gravitational constant in Mpc (km/s)^2 per solar mass.
 C_KMS = 299792.458
 G_COSMO = 4.3009e-9
 
@@ -126,7 +127,7 @@ def conformal(c: Cosmology, a: Column, as_published: bool = True) -> Column:
 
 
 def bbks(q: Column) -> Column:
-    """Transfer function of Bardeen et al. 1986."""
+    """Transfer function of Bardeen et al. 1986; the numbers are fixed values of that fit."""
     poly = F.lit(1.0) + 3.89 * q + F.pow(16.1 * q, F.lit(2.0)) + F.pow(5.46 * q, F.lit(3.0)) + F.pow(6.71 * q, F.lit(4.0))
     return F.log1p(2.34 * q) / (2.34 * q) * F.pow(poly, F.lit(-0.25))
 

@@ -36,7 +36,10 @@ def cpt_growth(z: Column, om: float, ol: float) -> Column:
 
 
 def eh_scales(om: float, ob: float, h: float) -> dict[str, float]:
-    """Scales of the fit of Eisenstein and Hu 1998 for a microwave background of 2.7 K."""
+    """Scales of the fit of Eisenstein and Hu 1998 for a microwave background of 2.7 K.
+
+    The numbers are fixed values of the published fit.
+    """
     m, b = om * h * h, ob * h * h
     keq, zeq = 7.46e-2 * m, 2.5e4 * m
     b1 = 0.313 * m**-0.419 * (1.0 + 0.607 * m**0.674)

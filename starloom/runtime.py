@@ -11,15 +11,18 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
 _RUNS: list[Scratch] = []
+_SHIPPED: set[str] = set()
 
 
 def session(master: str = "local[8]", partitions: int = 8, memory: str = "8g") -> SparkSession:
-    return (
+    spark = (
         SparkSession.builder.master(master)
         .appName("starloom")
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -30,9 +33,28 @@ def session(master: str = "local[8]", partitions: int = 8, memory: str = "8g") -
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once for each application, so that functions run
+    on Arrow batches find it wherever the driver was started."""
+    sc = spark.sparkContext
+    here = Path(__file__).parent
+    if sc.applicationId in _SHIPPED or not here.is_dir():
+        return
+    _SHIPPED.add(sc.applicationId)
+    folder = tempfile.mkdtemp(prefix="starloom-code-")
+    atexit.register(shutil.rmtree, folder, True)
+    with zipfile.ZipFile(f"{folder}/{here.name}.zip", "w") as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f"{here.name}/{f.relative_to(here)}")
+    sc.addPyFile(f"{folder}/{here.name}.zip")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -56,6 +78,7 @@ class Scratch:
         self.base = f"{shared_dir(spark)}/starloom-{what}-{uuid.uuid4().hex[:12]}"
         self._paths: dict[int, tuple[DataFrame, str]] = {}
         self._n = 0
+        ship(spark)
         _RUNS.append(self)
 
     def keep(self, df: DataFrame) -> DataFrame:
