@@ -59,12 +59,19 @@ def direct(targets: DataFrame, sources: DataFrame, eps: float, box: float | None
         return targets.mapInPandas(near, OUT)
     nt, ns = -(-targets.count() // TILE), -(-m // TILE)
     t = targets.withColumn("ti", F.pmod(F.xxhash64("id"), F.lit(nt))).withColumn("si", F.explode(F.sequence(F.lit(0), F.lit(ns - 1))))
-    s = sources.withColumn("si", F.pmod(F.xxhash64("id"), F.lit(ns)).cast("int")).withColumn("ti", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nt - 1).cast("long"))))
+    # fresh names, so that targets and sources of one table stay apart
+    s = sources.select(*[F.col(c).alias(f"s_{c}") for c in cols])
+    s = s.withColumn("s_si", F.pmod(F.xxhash64("s_id"), F.lit(ns)).cast("int")).withColumn("s_ti", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nt - 1).cast("long"))))
 
     def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return _frame(a["id"].to_numpy(), _kernel(a[["x", "y", "z"]].to_numpy(float), a["id"].to_numpy(), b[cols[1:]].to_numpy(float), b["id"].to_numpy(), eps, box))
-
-    parts = t.groupBy("ti", "si").cogroup(s.groupBy("ti", "si")).applyInPandas(tile, OUT)
+        if a.empty:
+            return _frame(np.zeros(0, np.int64), np.zeros((0, 4)))
+        ids = a["id"].to_numpy()
+        if b.empty:
+            return _frame(ids, np.zeros((len(ids), 4)))
+        return _frame(ids, _kernel(a[["x", "y", "z"]].to_numpy(float), ids, b[["s_x", "s_y", "s_z", "s_mass"]].to_numpy(float), b["s_id"].to_numpy(), eps, box))
+
+    parts = t.groupBy("ti", "si").cogroup(s.groupBy("s_ti", "s_si")).applyInPandas(tile, OUT)
     return all_reduce(parts)
 
 
