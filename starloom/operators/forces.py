@@ -11,7 +11,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starloom.functions.vectors import min_image
 from starloom.operators import grid as gr
 from starloom.runtime import Scratch
 
@@ -95,11 +94,14 @@ def pair_forces(bodies: DataFrame, eps: float = 0.01, factor: float = 1.0) -> Da
     return both.select("id1", "id2", *[(f * q).alias(f"f{c}") for q, c in zip(d, "xyz")], pot.alias("potential"))
 
 
-def energies(bodies: DataFrame, eps: float, box: float | None = None) -> DataFrame:
-    """(kinetic, potential, total); each pair counts once, as half of each partner's potential."""
-    phi = direct(bodies, bodies, eps, box).select("id", "phi")
+def energies(bodies: DataFrame, eps: float, box: float | None = None, phi: DataFrame | None = None) -> DataFrame:
+    """(kinetic, potential, total); each pair counts once, as half of each partner's potential. Potentials (id, phi)
+    are those of direct sums unless given."""
+    phi = direct(bodies, bodies, eps, box) if phi is None else phi
     v2 = F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy") + F.col("vz") * F.col("vz")
-    e = bodies.join(phi, "id").agg(F.sum(F.col("mass") * v2 / 2).alias("kinetic"), F.sum(F.col("mass") * F.col("phi") / 2).alias("potential"))
+    e = bodies.join(phi.select("id", "phi"), "id", "left").agg(
+        F.sum(F.col("mass") * v2 / 2).alias("kinetic"), F.sum(F.col("mass") * F.coalesce("phi", F.lit(0.0)) / 2).alias("potential")
+    )
     return e.withColumn("total", F.col("kinetic") + F.col("potential"))
 
 
@@ -127,73 +129,141 @@ def tree_nodes(bodies: DataFrame, box: float, capacity: int, scratch: Scratch) -
 
     One aggregation a level, over the records still in cells above capacity: a cell is a leaf at the first level
     where it holds at most ``capacity`` records, or at level 20. All of a node's records count (quirk Q4); the
-    root covers the box (Q5), and every record has its own mass (Q6).
+    root covers the box (Q5), and every record has its own mass (Q6). A node without mass has its records' mean place.
     """
     rest = scratch.keep(bodies.select("id", "x", "y", "z", "mass", tree_key(box).alias("key")))
-    nodes, leaves, level = [], [], 0
+    nodes, split, level = [], [], 0
     while True:
         at = rest.withColumn("cell", F.shiftright("key", 3 * (DEPTH - level)))
         m = F.col("mass")
-        node = at.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum("mass").alias("mass"), *[(F.sum(m * F.col(a)) / F.sum("mass")).alias(f"com{a}") for a in "xyz"])
+        node = at.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum("mass").alias("mass"), *[F.coalesce(F.sum(m * F.col(a)) / F.when(F.sum("mass") > 0, F.sum("mass")), F.avg(a)).alias(f"com{a}") for a in "xyz"])
         node = scratch.keep(
             node.select(F.lit(level).alias("level"), "cell", "n", "mass", "comx", "comy", "comz", F.lit(box / 2**level).alias("size"), ((F.col("n") <= capacity) | F.lit(level == DEPTH)).alias("is_leaf"))
         )
         nodes.append(node)
-        kind = node.select("cell", "is_leaf")
-        leaves.append(at.join(kind.where("is_leaf"), "cell").select(F.lit(level).alias("level"), "cell", "id", "x", "y", "z", "mass"))
-        inner = kind.where("not is_leaf").select("cell")
-        if not inner.limit(1).count():
+        part = at.join(node.select("cell", "is_leaf"), "cell").select(F.lit(level).alias("level"), "cell", "id", "x", "y", "z", "mass", "key", "is_leaf")
+        split.append(scratch.keep(part))
+        rest = split[-1].where("not is_leaf").select("id", "x", "y", "z", "mass", "key")
+        if not rest.limit(1).count():
             break
-        rest = scratch.keep(at.join(inner, "cell", "left_semi").select("id", "x", "y", "z", "mass", "key"))
         level += 1
-    return reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, leaves)
-
-
-def _pull(m: Column, d: list[Column], r2: Column) -> list[Column]:
-    w = m / (r2 * F.sqrt(r2))
-    return [(w * q).alias(f"a{a}") for q, a in zip(d, "xyz")]
-
+    return scratch.together(nodes), scratch.together(split).where("is_leaf").drop("key", "is_leaf")
+
+
+BLOCK = 4096  # most records of a block that walks the tree together; WALK of them at a time
+WALK = 256
+SOURCES = "block", "level", "cell", "leaf", "id", "x", "y", "z", "mass"
+
+
+def _far(size, r2, theta: float, eps: float, periodic: bool, root):
+    """The opening rule, for columns and arrays alike."""
+    return size * size < theta * theta * (r2 + eps * eps) if periodic else size < theta * root(r2)
+
+
+def _under(up: np.ndarray, rec: np.ndarray, cell: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (record, place in the sorted array ``up``) of all entries below each record's cell, about SLICE at a time."""
+    first = np.searchsorted(up, cell, "left")
+    n = np.searchsorted(up, cell, "right") - first
+    ends = np.cumsum(n)
+    at = 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
+        k = n[at:to]
+        yield np.repeat(rec[at:to], k), np.arange(k.sum()) + np.repeat(first[at:to] - (np.cumsum(k) - k), k)
+        at = to
+
+
+def _walk(t: np.ndarray, tid: np.ndarray, tree: list[tuple[dict, dict]], box: float, theta: float, eps: float, periodic: bool) -> np.ndarray:
+    """Acceleration, potential and terms at targets (n, 3). ``tree`` has the inner nodes and the leaf records of each level."""
+    out = np.zeros((len(t), 5))
+    for at in range(0, len(t), WALK):
+        x, own, acc = t[at : at + WALK], tid[at : at + WALK], out[at : at + WALK]
+
+        def apart(src: dict, r: np.ndarray, i: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+            d = [src[a][i] - x[r, j] for j, a in enumerate("xyz")]  # noqa: B023
+            if periodic:
+                d = [np.where(q > box / 2, q - box, np.where(q < -box / 2, q + box, q)) for q in d]
+            return d, d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+
+        def act(src: dict, r: np.ndarray, i: np.ndarray, d: list[np.ndarray], r2: np.ndarray, on: np.ndarray) -> None:
+            r, m, soft = r[on], src["mass"][i[on]], r2[on] + eps * eps
+            w = np.where(soft > 0, m, 0.0) / np.sqrt(np.where(soft > 0, soft, 1.0))
+            for j, q in enumerate([*(w / np.where(soft > 0, soft, 1.0) * q[on] for q in d), -w, np.ones(len(r))]):
+                acc[:, j] += np.bincount(r, q, len(acc))  # noqa: B023
+
+        rec, cell = np.arange(len(x)), np.zeros(len(x), np.int64)
+        for level, (inner, leaf) in enumerate(tree):
+            for r, i in _under(leaf["up"], rec, cell):
+                d, r2 = apart(leaf, r, i)
+                act(leaf, r, i, d, r2, leaf["id"][i] != own[r])
+            opened = []
+            for r, i in _under(inner["up"], rec, cell):
+                d, r2 = apart(inner, r, i)
+                far = _far(box / 2**level, r2, theta, eps, periodic, np.sqrt)
+                act(inner, r, i, d, r2, far)
+                opened.append((r[~far], inner["cell"][i[~far]]))
+            rec, cell = (np.concatenate(v) for v in zip(*opened)) if opened else (rec[:0], cell[:0])
+    return out
 
-def tree_force(bodies: DataFrame, box: float, theta: float = 0.5, eps: float = 0.01, capacity: int = 8, periodic: bool = False, scratch: Scratch | None = None) -> DataFrame:
-    """(id, ax, ay, az, terms): Barnes-Hut acceleration on every record, and the number of terms it took.
 
-    All records walk down together, one level a round: a frontier of (record, node) meets the nodes of that
-    level, which either act by their centre of mass, are leaves whose records act one by one, or are replaced by
-    their children. The levels near the root, which every record meets, hold at most 8**level nodes and are
-    broadcast up to 4096; deeper ones are shuffled by cell. The periodic form uses minimum images and opens by
-    size^2 < theta^2 (r^2 + eps^2).
-    """
-    spark = bodies.sparkSession
-    scratch = scratch or Scratch(spark, "tree-force")
-    nodes, leaves = (scratch.keep(t) for t in tree_nodes(bodies, box, capacity, scratch))
-    front = bodies.select("id", "x", "y", "z", F.lit(0).cast("long").alias("cell"))
-    parts, level = [], 0
+def _near(nodes: DataFrame, blocks: DataFrame, box: float, theta: float, eps: float, periodic: bool, scratch: Scratch) -> DataFrame:
+    """(block, level, cell, is_leaf, comx, comy, comz, mass): all nodes that some record within a block's bounds can
+    meet. A node is opened for the block unless it is far from the nearest point of the bounds."""
+    front, parts, level = blocks.withColumn("cell", F.lit(0).cast("long")), [], 0
     eight = F.array(*[F.lit(i).cast("long") for i in range(8)])
     while True:
-        here = nodes.where(F.col("level") == level).drop("level", "n")
+        here = nodes.where(F.col("level") == level).drop("n")
         met = front.join(F.broadcast(here) if level <= 4 else here, "cell")
-        d = [F.col(f"com{a}") - F.col(a) for a in "xyz"]
-        d = [min_image(q, box) for q in d] if periodic else d
-        met = met.select("id", "x", "y", "z", "cell", "mass", "size", "is_leaf", *[q.alias(f"d{a}") for q, a in zip(d, "xyz")])
-        r2 = F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")
-        met = met.withColumn("r2", r2)
-        far = F.col("size") * F.col("size") < theta * theta * (F.col("r2") + eps * eps) if periodic else F.col("size") < theta * F.sqrt("r2")
-        met = scratch.keep(met.withColumn("far", far & ~F.col("is_leaf")))
-        soft = F.col("r2") + eps * eps
-        parts.append(met.where("far").select("id", *_pull(F.col("mass"), [F.col(f"d{a}") for a in "xyz"], soft)))
-        inside = leaves.where(F.col("level") == level).select("cell", F.col("id").alias("other"), *[F.col(a).alias(f"o{a}") for a in "xyz"], F.col("mass").alias("om"))
-        close = met.where("is_leaf").select("id", "x", "y", "z", "cell").join(inside, "cell").where("id <> other")
-        e = [F.col(f"o{a}") - F.col(a) for a in "xyz"]
-        e = [min_image(q, box) for q in e] if periodic else e
-        close = close.select("id", "om", *[q.alias(f"e{a}") for q, a in zip(e, "xyz")]).withColumn("s2", F.expr("ex * ex + ey * ey + ez * ez") + eps * eps)
-        parts.append(close.select("id", *_pull(F.col("om"), [F.col(f"e{a}") for a in "xyz"], F.col("s2"))))
-        open_ = met.where("not far and not is_leaf")
-        if not open_.limit(1).count():
-            break
-        front = open_.select("id", "x", "y", "z", F.explode(F.transform(eight, lambda o: F.col("cell") * 8 + o)).alias("cell"))
+        r2 = F.lit(0.0)
+        for a in "xyz":
+            images = [F.col(f"com{a}") + k * box for k in ((-1, 0, 1) if periodic else (0,))]
+            gaps = [F.greatest(F.col(f"lo{a}") - c, c - F.col(f"hi{a}"), F.lit(0.0)) for c in images]
+            gap = F.least(*gaps) if periodic else gaps[0]
+            r2 = r2 + gap * gap
+        far = _far(F.col("size"), r2 * (1 - 1e-9), theta, eps * (1 - 1e-9), periodic, F.sqrt)
+        met = scratch.keep(met.withColumn("open", ~far & ~F.col("is_leaf")).select(*blocks.columns, "level", "cell", "is_leaf", "comx", "comy", "comz", "mass", "open"))
+        parts.append(met)
+        if not met.where("open").limit(1).count():
+            return scratch.together(parts).select("block", "level", "cell", "is_leaf", "comx", "comy", "comz", "mass")
+        front = met.where("open").select(*blocks.columns, F.explode(F.transform(eight, lambda o: F.col("cell") * 8 + o)).alias("cell"))
         level += 1
-    whole = reduce(DataFrame.unionByName, parts)
-    return whole.groupBy("id").agg(*[F.sum(f"a{a}").alias(f"a{a}") for a in "xyz"], F.count(F.lit(1)).alias("terms"))
+
+
+def tree_force(bodies: DataFrame, box: float, theta: float = 0.5, eps: float = 0.01, capacity: int = 8, periodic: bool = False, scratch: Scratch | None = None) -> DataFrame:
+    """(id, ax, ay, az, phi, terms): Barnes-Hut acceleration and potential on every record, and the number of terms
+    it took.
+
+    Every record walks down on its own: a node acts by its centre of mass, is a leaf whose records act one by one,
+    or is replaced by its children. The periodic form uses minimum images and opens by
+    size^2 < theta^2 (r^2 + eps^2). To keep the visits of records from becoming rows, records are put into blocks, the
+    largest cells of at most BLOCK; a block and the nodes its records can meet are one cogroup of bounded size. The
+    levels near the root hold at most 8**level nodes and are broadcast up to 4096; deeper ones are shuffled by cell.
+    """
+    scratch = scratch or Scratch(bodies.sparkSession, "tree-force")
+    nodes, leaves = tree_nodes(bodies, box, capacity, scratch)
+    ends = nodes.where("is_leaf").select("level", "cell")
+    above = ends.withColumn("bl", F.explode(F.sequence(F.lit(0), F.col("level")))).withColumn("bc", F.expr("shiftright(cell, 3 * (level - bl))"))
+    tops = nodes.where(F.col("n") <= BLOCK).select(F.col("level").alias("bl"), F.col("cell").alias("bc"))
+    top = above.join(tops, ["bl", "bc"]).groupBy("level", "cell").agg(F.min(F.struct("bl", "bc")).alias("b"))
+    top = ends.join(top, ["level", "cell"], "left").withColumn("b", F.coalesce("b", F.struct(F.col("level").alias("bl"), F.col("cell").alias("bc"))))
+    top = top.select("level", "cell", F.expr("b.bc + shiftleft(1L, 3 * b.bl)").alias("block"))
+    targets = scratch.keep(leaves.join(top, ["level", "cell"]).select("block", "id", "x", "y", "z"))
+    blocks = scratch.keep(targets.groupBy("block").agg(*[f(a).alias(f"{n}{a}") for a in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"))]))
+    near = _near(nodes, blocks, box, theta, eps, periodic, scratch)
+    inner = near.where("not is_leaf").select("block", "level", "cell", F.lit(False).alias("leaf"), F.lit(0).cast("long").alias("id"), *[F.col(f"com{a}").alias(a) for a in "xyz"], "mass")
+    single = near.where("is_leaf").select("block", "level", "cell").join(leaves, ["level", "cell"]).withColumn("leaf", F.lit(True)).select(*SOURCES)
+    sources = inner.unionByName(single).select(*[F.col(c).alias(f"s_{c}") for c in SOURCES])
+
+    def walk(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.assign(s_up=b["s_cell"] // 8).sort_values(["s_up", "s_cell", "s_id"], kind="stable")
+        columns = lambda p: {c: p[f"s_{c}"].to_numpy() for c in ("up", "cell", "id", "x", "y", "z", "mass")}
+        at = [b[b["s_level"] == v] for v in range(DEPTH + 1)]
+        tree = [(columns(p[~p["s_leaf"]]), columns(p[p["s_leaf"]])) for p in at]
+        ids = a["id"].to_numpy()
+        got = _walk(a[["x", "y", "z"]].to_numpy(float), ids, tree, box, theta, eps, periodic)
+        return _frame(ids, got).assign(terms=got[:, 4].astype(np.int64))
+
+    return targets.groupBy("block").cogroup(sources.groupBy("s_block")).applyInPandas(walk, f"{OUT}, terms bigint").where("terms > 0")
 
 
 def tree_stats(nodes: DataFrame) -> DataFrame:

@@ -60,7 +60,15 @@ def force_allreduce(s, d):
 
 
 def force_tree(periodic):
-    return lambda s, d: _r(fo.tree_force(halo_bodies(s, d), L, periodic=periodic), **A8)
+    return lambda s, d: _r(fo.tree_force(halo_bodies(s, d), L, periodic=periodic).drop("phi"), **A8)
+
+
+def force_tree_particles(periodic):
+    def run(s, d):
+        p = Scratch(s, "bodies").keep(particles(s, d))
+        return _r(fo.tree_force(p, L, periodic=periodic).drop("phi"), ax=6, ay=6, az=6)
+
+    return run
 
 
 def cmp_tree_direct(s, d):
@@ -68,22 +76,49 @@ def cmp_tree_direct(s, d):
     return _r(fo.compare(fo.tree_force(b, L), fo.direct(b, b, 0.01)), mean_error=7, max_error=6, correlation=7)
 
 
-def tree_nodes(s, d):
-    n = fo.tree_nodes(halo_bodies(s, d), L, 8, Scratch(s, "nodes"))[0]
-    return _r(n, mass=6, comx=6, comy=6, comz=6)
+def tree_nodes(bodies):
+    def run(s, d):
+        n = fo.tree_nodes(bodies(s, d), L, 8, Scratch(s, "nodes"))[0]
+        return _r(n, mass=6, comx=6, comy=6, comz=6)
+
+    return run
+
+
+def tree_stats(bodies):
+    return lambda s, d: fo.tree_stats(fo.tree_nodes(bodies(s, d), L, 8, Scratch(s, "stats"))[0])
 
 
 def pair_kernels(s, d):
     return _r(fo.pair_forces(hosts(s, d)), fx=6, fy=6, fz=6, potential=6)
 
 
-def system_diagnostics(s, d):
-    b = hosts(s, d)
+def _sums(b):
     m, tot = F.col("mass"), F.sum("mass")
     spin = [F.round(F.sum(m * (F.col(p) * F.col(f"v{q}") - F.col(q) * F.col(f"v{p}"))), 3).alias(f"l{a}") for a, p, q in ("xyz", "yzx", "zxy")]
-    a = b.agg(F.count(F.lit(1)).alias("n"), F.round(tot, 6).alias("mass"), *[F.round(F.sum(m * F.col(x)) / tot, 6).alias(f"com{x}") for x in "xyz"], *[F.round(F.sum(m * F.col(f"v{x}")), 5).alias(f"p{x}") for x in "xyz"], *spin)
-    e = fo.energies(b, EPS, L).first()
-    return a.withColumns({c: F.round(F.lit(e[c]), 3) for c in ("kinetic", "potential", "total")})
+    return b.agg(F.count(F.lit(1)).alias("n"), F.round(tot, 6).alias("mass"), *[F.round(F.sum(m * F.col(x)) / tot, 6).alias(f"com{x}") for x in "xyz"], *[F.round(F.sum(m * F.col(f"v{x}")), 5).alias(f"p{x}") for x in "xyz"], *spin)
+
+
+def _diagnostics(b, energies):
+    e = energies.first()
+    return _sums(b).withColumns({c: F.round(F.lit(e[c]), 3) for c in ("kinetic", "potential", "total")})
+
+
+def system_diagnostics(s, d):
+    b = hosts(s, d)
+    return _diagnostics(b, fo.energies(b, EPS, L))
+
+
+def _tree_energies(p):
+    return fo.energies(p, EPS, L, fo.tree_force(p, L, eps=EPS, periodic=True))
+
+
+def system_diagnostics_particles(s, d):
+    p = Scratch(s, "bodies").keep(particles(s, d))
+    return _diagnostics(p, _tree_energies(p))
+
+
+def energy_particles(s, d):
+    return _r(_tree_energies(Scratch(s, "bodies").keep(particles(s, d))), kinetic=3, potential=3, total=3)
 
 
 def _field(s, d):
@@ -142,14 +177,20 @@ QUERIES = {
     "force_allreduce": force_allreduce,
     "force_tree": force_tree(False),
     "force_tree_periodic": force_tree(True),
-    "force_pm": lambda s, d: _r(fo.mesh_force(halo_bodies(s, d), 16, L), **A8),
+    "force_tree_particles": force_tree_particles(False),
+    "force_tree_periodic_particles": force_tree_particles(True),
+    "force_pm": lambda s, d: _r(fo.mesh_force(Scratch(s, "bodies").keep(particles(s, d)), 16, L), **A8),
     "cmp_tree_direct": cmp_tree_direct,
-    "tree_nodes": tree_nodes,
-    "tree_stats": lambda s, d: fo.tree_stats(fo.tree_nodes(halo_bodies(s, d), L, 8, Scratch(s, "stats"))[0]),
+    "tree_nodes": tree_nodes(halo_bodies),
+    "tree_nodes_particles": tree_nodes(particles),
+    "tree_stats": tree_stats(halo_bodies),
+    "tree_stats_particles": tree_stats(particles),
     "pair_kernels": pair_kernels,
     "energy": lambda s, d: _r(fo.energies(halo_bodies(s, d), EPS, L), kinetic=3, potential=3, total=3),
     "energy_drift": lambda s, d: _r(it.run(hosts(s, d), 2, DT, EPS, L), kinetic=3, potential=3, total=3, drift=9),
+    "energy_particles": energy_particles,
     "system_diagnostics": system_diagnostics,
+    "system_diagnostics_particles": system_diagnostics_particles,
     "step_kick": step_kick,
     "step_drift": lambda s, d: it.drift(particles(s, d), 0.5, L).select("id", "x", "y", "z"),
     "step_kdk": step_kdk,
@@ -275,3 +316,26 @@ SELECT part, CAST(sum(n) AS BIGINT) AS load, count(*) AS cells FROM f WHERE code
     "ghost_exchange": f"WITH {PARTICLES_SQL}, s AS (" + " UNION ALL ".join(f"SELECT id, {_owner()} AS owner, {_owner((str(i * 10.0), str(j * 10.0), str(k * 10.0)))} AS dom FROM p" for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)) + ") SELECT DISTINCT id, owner, dom FROM s WHERE owner <> dom",
     "load_balance": f"WITH {PARTICLES_SQL}, c AS (SELECT d.dom, count(o.id) AS n FROM domains d LEFT JOIN (SELECT id, {_owner()} AS dom FROM p) o ON o.dom = d.dom GROUP BY 1) SELECT min(n) AS fewest, max(n) AS most, CAST(sum(n) AS BIGINT) AS records, max(n) - min(n) > 0.2 * max(n) AS rebalance FROM c",
 }
+
+# the same trees over the particle table; energies take potentials of the periodic tree at eps 0.1
+def _P(sql):
+    sql = sql.replace(HALOS_SQL, PARTICLES_SQL)
+    for a in "xyz":  # cells of massless particles
+        sql = sql.replace(f"sum(mass * {a}) / sum(mass) AS com{a}", f"coalesce(sum(mass * {a}) / nullif(sum(mass), 0), avg({a})) AS com{a}", 1)
+    # the walk as an equi-join: it starts above the root
+    sql = sql.replace("0 AS level, CAST(0 AS BIGINT) AS cell, false AS far", "-1 AS level, CAST(0 AS BIGINT) AS cell, false AS far")
+    return sql.replace("(f.start AND n.level = 0) OR (NOT f.start AND NOT f.far AND NOT f.leaf AND n.level = f.level + 1 AND n.cell >> 3 = f.cell)", "n.level = f.level + 1 AND n.cell >> 3 = f.cell AND NOT f.far AND NOT f.leaf")
+
+
+_A6 = _A8.replace(", 8)", ", 6)")
+_TREE_E = f"""{_P(_tree(True)).replace('0.01 * 0.01', '0.1 * 0.1')}, f2 AS (SELECT id, -sum(m / sqrt(r2)) AS phi FROM w GROUP BY id),
+e AS (SELECT round(k, 3) AS kinetic, round(u, 3) AS potential, round(k + u, 3) AS total FROM (SELECT sum(mass * (vx * vx + vy * vy + vz * vz) / 2) AS k, sum(mass * coalesce(phi, 0) / 2) AS u FROM p LEFT JOIN f2 USING (id)))"""
+SQL |= {
+    "force_tree_particles": f"WITH RECURSIVE {_P(_tree(False))} SELECT id, {_A6}, terms FROM t",
+    "force_tree_periodic_particles": f"WITH RECURSIVE {_P(_tree(True))} SELECT id, {_A6}, terms FROM t",
+    "tree_nodes_particles": _P(SQL["tree_nodes"]),
+    "tree_stats_particles": _P(SQL["tree_stats"]),
+    "energy_particles": f"WITH RECURSIVE {_TREE_E} SELECT * FROM e",
+    "system_diagnostics_particles": f"""WITH RECURSIVE {_TREE_E} SELECT count(*) AS n, round(sum(mass), 6) AS mass, {', '.join(f'round(sum(mass * {a}) / sum(mass), 6) AS com{a}, round(sum(mass * v{a}), 5) AS p{a}' for a in 'xyz')},
+{', '.join(f'round(sum(mass * ({b} * v{c} - {c} * v{b})), 3) AS l{a}' for a, b, c in ('xyz', 'yzx', 'zxy'))}, any_value(kinetic) AS kinetic, any_value(potential) AS potential, any_value(total) AS total FROM p, e""",
+}

@@ -89,6 +89,10 @@ class Scratch:
         self._paths[id(out)] = (out, path)
         return out
 
+    def together(self, tables: list[DataFrame]) -> DataFrame:
+        """Kept tables of one schema as a single scan, where a union would plan each of them."""
+        return self.spark.read.schema(tables[0].schema).parquet(*[self._paths[id(t)][1] for t in tables])
+
     def drop(self, *tables: DataFrame) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for t in tables:

@@ -14,6 +14,7 @@ from starloom.operators import halos as ha
 from starloom.operators import integrate as it
 from starloom.operators import spatial as sp
 from starloom.operators import spectrum as ps
+from starloom.queries import dynamics
 
 #: Analytic values at z: Hubble rate, age, growth, growth rate, matter share.
 GOLDEN = {
@@ -159,3 +160,33 @@ def test_energy_is_nearly_conserved(spark):
     two = spark.createDataFrame([(0, 4.0, 5.0, 5.0, 0.0, 0.35, 0.0, 1.0), (1, 6.0, 5.0, 5.0, 0.0, -0.35, 0.0, 1.0)], "id long, x double, y double, z double, vx double, vy double, vz double, mass double")
     e = it.run(two, 3, 0.05, 0.1).collect()
     assert abs(e[-1]["drift"]) < 1e-4 and e[0]["drift"] == 0
+
+
+def test_gravity_takes_every_particle(spark, tmp_path):
+    rnd = np.random.default_rng(9)
+    n = 40
+    p = pd.DataFrame({"id": np.arange(n), **{a: rnd.uniform(0, 1000, n) for a in "xyz"}, **{f"v{a}": rnd.normal(0, 1, n) for a in "xyz"}, "mass": rnd.uniform(0.5, 2, n)})
+    spark.createDataFrame(p).write.parquet(f"{tmp_path}/particles.parquet")
+    q = {k: f(spark, str(tmp_path)) for k, f in dynamics.QUERIES.items() if k.endswith("_particles") or k == "force_pm"}
+    for k in ("force_tree_particles", "force_tree_periodic_particles", "force_pm"):
+        assert {r["id"] for r in q[k].collect()} == set(range(n))
+    assert q["tree_stats_particles"].first()["bodies"] == n
+    e = q["system_diagnostics_particles"].first()
+    assert e["n"] == n and e["mass"] == pytest.approx(p["mass"].sum())
+    assert e["px"] == pytest.approx((p["mass"] * p["vx"]).sum(), abs=1e-5)
+    x, m, u = p[["x", "y", "z"]].to_numpy(), p["mass"].to_numpy(), 0.0
+    for i in range(n):
+        d = x[i + 1 :] - x[i]
+        d -= 1000 * np.round(d / 1000)
+        u -= (m[i] * m[i + 1 :] / np.sqrt((d * d).sum(1) + 0.01)).sum()
+    assert e["potential"] == pytest.approx(u, rel=0.02)
+
+
+@pytest.mark.parametrize("periodic", [False, True])
+def test_blocks_of_the_tree_do_not_change_it(bodies, monkeypatch, periodic):
+    one = {r["id"]: r for r in fo.tree_force(bodies, 10.0, capacity=2, periodic=periodic).collect()}
+    monkeypatch.setattr(fo, "BLOCK", 4)
+    many = {r["id"]: r for r in fo.tree_force(bodies, 10.0, capacity=2, periodic=periodic).collect()}
+    assert set(one) == set(many) == set(range(60))
+    for i in one:
+        assert one[i]["terms"] == many[i]["terms"] and tuple(one[i])[1:5] == pytest.approx(tuple(many[i])[1:5], rel=1e-9, abs=1e-12)
