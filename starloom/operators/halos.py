@@ -153,30 +153,37 @@ def enclosed_distances(centres: DataFrame, particles: DataFrame, reach: float =
     return both.where(F.col("d") <= F.col("r")).select("halo_id", "d", "mass")
 
 
-def nfw_fit(members: DataFrame, particles: DataFrame, centres: DataFrame) -> DataFrame:
-    """(halo_id, n, rs, concentration, rms): NFW profile fitted to each halo's cumulative mass by grid search.
+def nfw_fit(members: DataFrame, particles: DataFrame, centres: DataFrame, box: float | None = None) -> DataFrame:
+    """(halo_id, n, beyond, r_max, rs, concentration, rms): NFW profile fitted to each halo's cumulative mass by grid
+    search over the concentration r_vir / rs.
 
-    Distances are first counted into 64 shells a halo, so a halo of any size is a bounded group.
+    The profile reaches to the outermost member, r_max; ``beyond`` of the members lie outside r_vir, a column of
+    ``centres``. With ``box`` distances are periodic. They are first counted into 64 shells a halo, so a halo of any
+    size is a bounded group.
     """
     shells = 64
-    rows = lookup(members.join(particles.select("id", "x", "y", "z", "mass"), "id"), centres.select("halo_id", "comx", "comy", "comz", "r_max"), "halo_id", how="inner")
-    d = sum(((F.col(a) - F.col(f"com{a}")) * (F.col(a) - F.col(f"com{a}")) for a in "xyz"), F.lit(0.0))
-    shell = F.least(F.floor(F.sqrt(d) / F.col("r_max") * shells), F.lit(shells - 1)).cast("int")
-    prof = rows.select("halo_id", "r_max", "mass", shell.alias("shell")).groupBy("halo_id", "r_max", "shell").agg(F.sum("mass").alias("m"), F.count(F.lit(1)).alias("n"))
+    rows = lookup(members.join(particles.select("id", "x", "y", "z", "mass"), "id"), centres.select("halo_id", "comx", "comy", "comz", "r_vir"), "halo_id", how="inner")
+    d = [F.col(a) - F.col(f"com{a}") for a in "xyz"]
+    d = d if box is None else [min_image(q, box) for q in d]
+    rows = rows.select("halo_id", "r_vir", "mass", F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]).alias("d"))
+    rows = lookup(rows, rows.groupBy("halo_id").agg(F.max("d").alias("r_max")), "halo_id", how="inner")
+    shell = F.when(F.col("r_max") > 0, F.least(F.floor(F.col("d") / F.col("r_max") * shells), F.lit(shells - 1))).otherwise(0).cast("int")
+    prof = rows.withColumn("shell", shell).groupBy("halo_id", "r_vir", "r_max", "shell").agg(F.sum("mass").alias("m"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("d") > F.col("r_vir")).alias("beyond"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         m = np.zeros(shells)
         m[pdf["shell"].to_numpy()] = pdf["m"].to_numpy()
-        r = (np.arange(shells) + 1.0) / shells
+        size, r_max = float(pdf["r_vir"].iloc[0]), float(pdf["r_max"].iloc[0])
+        r = (np.arange(shells) + 1.0) / shells * (r_max or size) / size
         m = np.cumsum(m) / max(m.sum(), 1e-300)
         best = (np.inf, 1.0)
         for c in np.geomspace(0.5, 50.0, 60):
             mu = np.log1p(c * r) - c * r / (1 + c * r)
             best = min(best, (float(np.sqrt(np.mean((m - mu / mu[-1]) ** 2))), float(c)))
-        size = float(pdf["r_max"].iloc[0])
-        return pd.DataFrame({"halo_id": [int(pdf["halo_id"].iloc[0])], "n": [int(pdf["n"].sum())], "rs": [size / best[1]], "concentration": [best[1]], "rms": [best[0]]})
+        row = {"halo_id": int(pdf["halo_id"].iloc[0]), "n": int(pdf["n"].sum()), "beyond": int(pdf["beyond"].sum()), "r_max": r_max, "rs": size / best[1], "concentration": best[1], "rms": best[0]}
+        return pd.DataFrame([row])
 
-    return prof.groupBy("halo_id").applyInPandas(run, "halo_id bigint, n bigint, rs double, concentration double, rms double")
+    return prof.groupBy("halo_id").applyInPandas(run, "halo_id bigint, n bigint, beyond bigint, r_max double, rs double, concentration double, rms double")
 
 
 def merger_links(membership: DataFrame) -> DataFrame:

@@ -55,8 +55,8 @@ def so_halos(s, d):
 def nfw(s, d):
     scratch = Scratch(s, "nfw")
     m, p = scratch.keep(fof(s, d)), scratch.keep(particles(s, d))
-    h = ha.properties(m, p, box=L).select("halo_id", "comx", "comy", "comz", F.greatest(F.col("r_vir"), F.lit(1e-6)).alias("r_max"))
-    return ha.nfw_fit(m, p, h)
+    h = ha.properties(m, p, box=L).select("halo_id", "comx", "comy", "comz", F.greatest(F.col("r_vir"), F.lit(1e-6)).alias("r_vir"))
+    return ha.nfw_fit(m, p, h, L)
 
 
 QUERIES = {

@@ -190,3 +190,18 @@ def test_blocks_of_the_tree_do_not_change_it(bodies, monkeypatch, periodic):
     assert set(one) == set(many) == set(range(60))
     for i in one:
         assert one[i]["terms"] == many[i]["terms"] and tuple(one[i])[1:5] == pytest.approx(tuple(many[i])[1:5], rel=1e-9, abs=1e-12)
+
+
+def test_nfw_fit_takes_members_beyond_the_virial_radius_and_over_the_box_edge(spark):
+    c, r_vir, n = 5.0, 1.0, 2000
+    grid = np.linspace(0, 3, 20001)
+    mu = np.log1p(c * grid) - c * grid / (1 + c * grid)
+    d = np.interp((np.arange(n) + 0.5) / n, mu / mu[-1], grid)
+    way = np.random.default_rng(3).normal(0, 1, (n, 3))
+    way /= np.sqrt((way * way).sum(1))[:, None]
+    at = np.mod(d[:, None] * way, 100.0)  # about the corner of the box
+    p = spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "x": at[:, 0], "y": at[:, 1], "z": at[:, 2], "mass": 1.0}))
+    centre = spark.createDataFrame([(0, 0.0, 0.0, 0.0, r_vir)], "halo_id long, comx double, comy double, comz double, r_vir double")
+    r = ha.nfw_fit(p.select(F.lit(0).cast("long").alias("halo_id"), "id"), p, centre, 100.0).first()
+    assert r["n"] == n and r["beyond"] == (d > r_vir).sum() and r["r_max"] == pytest.approx(d.max())
+    assert r["concentration"] == pytest.approx(c, rel=0.1) and r["rs"] == pytest.approx(r_vir / c, rel=0.1) and r["rms"] < 0.02
