@@ -1,52 +1,55 @@
 """Subject areas of documents by class-association rules.
 
-Sentences of labelled documents are transactions of words. Parallel frequent-pattern growth mines word sets
-of up to three words with their class counts: every task grows the patterns that end in its own items, from
-the conditional prefixes sent to it. Rules that say no more than a rule on fewer words are pruned. A sentence
-takes the class of its strongest matching rules, a document the classes that hold enough of its text; the
-share needed is calibrated on the labelled documents.
+Sentences of labelled documents are transactions of words. Parallel frequent-pattern growth mines word sets with
+their class counts: every task grows the patterns that end in its own items, from the conditional prefixes sent
+to it, all patterns of a length at once. Rules that say no more than a rule on fewer words are pruned. A sentence
+takes the class with most evidence, the log odds of all matching rules added up; a document's share of a subject
+is the part of its words in sentences of that class. What share makes a subject is calibrated by isotonic
+regression on labelled documents that the rules have not seen.
 
 Mining runs twice. The first pass spreads a document's labels over its sentences. Its rules then say which
 sentence belongs to which label, and which speak of something else in passing; the second pass learns that,
 with "in passing" as one more class.
 
 The fit uses at most ``MAX_DOCS`` labelled documents, chosen by a hash of doc_id; every document is scored.
-Texts that are null, empty or without known words get no subject; texts of any length are scored whole. Without
-usable labels there are no rules and no subjects.
+Texts that are null, empty or without known words get no subject; texts of any length are scored whole, in any
+script. Without usable labels there are no rules and no subjects.
 """
 
 from __future__ import annotations
 
 import html
 import itertools
-import math
 import re
-import unicodedata
-from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starloom.runtime import Scratch, parallelism
 
 MAX_DOCS = 20_000
-MAX_ITEMS = 30_000
-LONGEST = 3
-MIN_COUNT = 5
-MIN_SUPPORT = 1e-4  # of the sentences; the larger of both holds
-MIN_LIFT = 1.5
+HELD_OUT = 5  # one labelled document in so many calibrates and is not mined
+MIN_COUNT = 5.0  # sentences that a word, and a set of words, must be in
+MIN_LIFT = 1.5  # of a word, and of a rule, in its class; words that favour no class are not items
 MIN_CONF = 0.5
-SURE = 0.97  # a rule this sure isn't specialised
 GAIN = 0.02  # by so much a longer rule must be surer than each shorter one
+SURE = 1.0 - GAIN  # no rule can be surer than this by GAIN, so growth ends there and loses nothing
+COVER = 0.5  # a text has content in at least this part of its words
+SPLIT = 1 << 21  # occurrences grown at once
+DENSE = 1 << 24  # places of a rule table that is looked up by place, not by search
 
-_TAG = re.compile(r"<[^<>]{1,200}>")
 _ODD = re.compile(r"[ÂÃâ][\x80-\xff€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]{1,2}")
-_END = re.compile(r"[.!?;&|\n\r]+(?:\s|$)|[\n\r&;]|\s-\s|\[\d+\]|\*\*\*")
-_WORD = re.compile(r"[a-z]{2,}")
-_UMLAUT = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss", "œ": "oe", "æ": "ae"})
+_TAG = r"<[^<>]{1,200}>"
+_END = r"[.!?;&|\n\r]+(?:\s|$)|[\n\r&;]|\s-\s|\[\d+\]|\*\*\*|[。！？｡।؟]+"
+_GAP = r"[^\p{L}\p{M}]+"
+_SIGN = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}])"  # scripts without gaps: each sign is a word
+#: Letters written as two.
+_PAIRS = {"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss", "œ": "oe", "æ": "ae"}
 
 
 def _repair(m: re.Match) -> str:
@@ -56,77 +59,155 @@ def _repair(m: re.Match) -> str:
         return m[0]
 
 
-def sentences(text: str | None) -> list[tuple[frozenset[str], int]]:
-    """(words, length) of each sentence, in lower case without accents, markup and encoding faults."""
-    if not text:
-        return []
-    t = _TAG.sub("\n", html.unescape(text))
-    t = _ODD.sub(_repair, t).lower().translate(_UMLAUT)
-    if not t.isascii():
-        t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
-    out = []
-    for s in _END.split(t):
-        words = _WORD.findall(s)
-        if words:
-            out.append((frozenset(words), len(words)))
-    return out
+def _on(texts: pa.Array, mask: pa.Array, change) -> pa.Array:
+    """``change`` of the rows under the mask, the others as they are."""
+    if not pc.any(mask, min_count=0).as_py():
+        return texts
+    return pc.replace_with_mask(texts, mask, change(texts.filter(mask)))
+
+
+def _plain(texts: pa.Array) -> pa.Array:
+    for a, b in _PAIRS.items():
+        texts = pc.replace_substring(texts, a, b)
+    return pc.replace_substring_regex(pc.utf8_normalize(texts, "NFKD"), r"\p{Mn}+", "")
+
+
+@dataclass
+class Sentences:
+    """Sentences of a batch of texts. Equal ones are stored once: ``words`` with the number of the sentence they are in, and
+    its ``length`` in words. ``text`` and ``which`` are the texts and sentence numbers of all that occur."""
+
+    words: pa.Array
+    sentence: np.ndarray
+    length: np.ndarray
+    text: np.ndarray
+    which: np.ndarray
+
+
+def sentences(texts: pa.Array) -> Sentences:
+    """Sentences of texts in lower case, without accents, markup and encoding faults; those without words are left out."""
+    t = pc.fill_null(texts.cast(pa.string()), "")
+    t = _on(t, pc.match_substring(t, "&"), lambda a: pa.array([html.unescape(x) for x in a.to_pylist()], pa.string()))
+    t = _on(t, pc.match_substring(t, "<"), lambda a: pc.replace_substring_regex(a, _TAG, "\n"))
+    ascii_ = pc.string_is_ascii(t)
+    t = _on(t, pc.and_(pc.invert(ascii_), pc.match_substring_regex(t, "[ÂÃâ]")), lambda a: pa.array([_ODD.sub(_repair, x) for x in a.to_pylist()], pa.string()))
+    t = pc.utf8_lower(t)
+    t = _on(t, pc.invert(ascii_), _plain)
+    t = _on(t, pc.and_(pc.invert(ascii_), pc.match_substring_regex(t, _SIGN)), lambda a: pc.replace_substring_regex(a, _SIGN, r" \1 "))
+    parts = pc.split_pattern_regex(t, _END)
+    each, text = parts.flatten().dictionary_encode(), pc.list_parent_indices(parts).to_numpy()
+    split = pc.split_pattern_regex(each.dictionary, _GAP)
+    words, sentence = split.flatten(), pc.list_parent_indices(split).to_numpy()
+    size = pc.utf8_length(words)
+    good = pc.greater(size, 1)
+    lone = pc.equal(size, 1)
+    good = pc.or_(good, pc.and_(lone, pc.match_substring_regex(words, "^" + _SIGN))) if pc.any(lone, min_count=0).as_py() else good
+    keep = good.to_numpy(zero_copy_only=False)
+    words, sentence = words.filter(good), sentence[keep]
+    length = np.bincount(sentence, minlength=len(each.dictionary))
+    which = each.indices.to_numpy().astype(np.int64)
+    full = length[which] > 0
+    return Sentences(words, sentence, length, text[full], which[full])
+
+
+@dataclass
+class Bags:
+    """Sets of item numbers, ascending, one set after the other."""
+
+    start: np.ndarray
+    items: np.ndarray
+
+    @property
+    def n(self) -> int:
+        return len(self.start) - 1
+
+    @property
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(self.n), np.diff(self.start))
+
+
+def bags(sentence: np.ndarray, items: np.ndarray, n: int) -> Bags:
+    """The distinct items of each of n sentences; negative items are none."""
+    known = items >= 0
+    wide = int(items.max(initial=0)) + 1
+    key = np.unique(sentence[known].astype(np.int64) * wide + items[known])
+    return Bags(np.searchsorted(key // wide, np.arange(n + 1)), key % wide)
+
+
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ..., n[0] of them, and so on."""
+    ends = np.cumsum(n)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - n), n)
 
 
 # ---- mining
 
 
-def confidence(v: np.ndarray, prior: np.ndarray) -> tuple[int, float]:
-    """The foremost class of class counts, and its share, drawn towards the prior by one count."""
-    k = int(v.argmax())
-    return k, float((v[k] + prior[k]) / (v.sum() + 1.0))
+def confidence(v: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The foremost class of rows of class counts, and its share, drawn towards the prior by one count."""
+    k = v.argmax(1)
+    return k, (v[np.arange(len(v)), k] + prior[k]) / (v.sum(1) + 1.0)
 
 
-def patterns(
-    prefixes: list[tuple[tuple[int, ...], np.ndarray]], own: set[int], least: float, prior: np.ndarray, single: np.ndarray
-) -> Iterator[tuple[tuple[int, ...], np.ndarray]]:
-    """Frequent itemsets whose last item is in ``own`` and that make a rule, by growing conditional prefixes.
+def grow(base: Bags, weight: np.ndarray, own: np.ndarray, single: np.ndarray, single_n: np.ndarray, prior: np.ndarray, least: float) -> list[tuple[tuple[int, ...], np.ndarray]]:
+    """Frequent itemsets whose last item is in ``own`` and that may make a rule, with their class counts.
 
-    ``prefixes`` are item tuples in ascending rank with class counts; ``single`` has the confidence of each item.
-    An itemset no surer than one of its items, or than the suffix it was grown from, is redundant and not given.
+    ``base`` are conditional prefixes with class ``weight`` rows; ``single`` and ``single_n`` have the confidence and
+    count of each item. Patterns grow from their last item towards the first, each by all items before its
+    first one, so no pattern is met twice. A pattern in as many sentences as one of its parts says nothing that
+    the part doesn't, nor does any longer one: neither is grown. Growth has no other bound on length.
     """
-
-    def grow(base: list[tuple[tuple[int, ...], np.ndarray]], suffix: tuple[int, ...], beat: float):
-        totals: dict[int, np.ndarray] = {}
-        for items, v in base:
-            for i in items:
-                if i in totals:
-                    totals[i] = totals[i] + v
-                else:
-                    totals[i] = v
-        for i, v in totals.items():
-            n = v.sum()
-            if n < least or (not suffix and i not in own):
-                continue
-            found = (i, *suffix)
+    found: list[tuple[tuple[int, ...], np.ndarray]] = []
+    at = np.flatnonzero(np.isin(base.items, own))
+    order = np.argsort(base.items[at], kind="stable")
+    at = at[order]
+    owner, wide = base.owner, len(single)
+    steps = np.cumsum(at - base.start[owner[at]])
+    cuts = np.searchsorted(steps, np.arange(SPLIT, steps[-1] if len(steps) else 0, SPLIT))
+    edges = [0, *[int(np.searchsorted(base.items[at], base.items[at[c]])) for c in cuts], len(at)]
+    for lo, hi in itertools.pairwise(sorted(set(edges))):  # whole last items at a time
+        here = at[lo:hi]
+        ids, pattern = np.unique(base.items[here], return_inverse=True)
+        sets = [(int(i),) for i in ids]
+        beat, count = single[ids], single_n[ids]
+        v = np.stack([np.bincount(pattern, weight[owner[here], c], len(ids)) for c in range(weight.shape[1])], 1)
+        good = v.sum(1) >= least
+        k, conf = confidence(v, prior)
+        found += [(sets[i], v[i]) for i in np.flatnonzero(good & (conf >= np.maximum(MIN_CONF, MIN_LIFT * prior[k])))]
+        open_ = good & (v.max(1) < SURE * v.sum(1))
+        while open_.any():
+            keep = open_[pattern]
+            here, pattern = here[keep], pattern[keep]
+            n = here - base.start[owner[here]]
+            nxt = _ranges(base.start[owner[here]], n)
+            key = np.repeat(pattern.astype(np.int64), n) * wide + base.items[nxt]
+            ids, new = np.unique(key, return_inverse=True)
+            if not len(ids):
+                break
+            w = weight[np.repeat(owner[here], n)]
+            v = np.stack([np.bincount(new, w[:, c], len(ids)) for c in range(w.shape[1])], 1)
+            from_, item = ids // wide, ids % wide
+            total = v.sum(1)
             k, conf = confidence(v, prior)
-            bar = max(beat, single[i] + GAIN) if suffix else 0.0
-            if conf >= max(bar, MIN_CONF, MIN_LIFT * prior[k]):
-                yield found, v
-            if len(found) < LONGEST and v.max() < SURE * n:
-                cond: dict[tuple[int, ...], np.ndarray] = {}
-                for items, w in base:
-                    if i in items:
-                        head = items[: items.index(i)]
-                        if head:
-                            cond[head] = cond[head] + w if head in cond else w
-                yield from grow(list(cond.items()), found, max(bar, conf + GAIN if conf >= MIN_CONF else 0.0, single[i] + GAIN))
-
-    yield from grow(prefixes, (), 0.0)
+            bar = np.maximum(beat[from_], single[item]) + GAIN
+            rule = (total >= least) & (conf >= np.maximum(bar, np.maximum(MIN_CONF, MIN_LIFT * prior[k])))
+            open_ = (total >= least) & (total < 0.999 * count[from_]) & (total < 0.999 * single_n[item]) & (v.max(1) < SURE * total)
+            used = np.flatnonzero(rule | open_)
+            sets = {int(i): (int(item[i]), *sets[from_[i]]) for i in used}
+            found += [(sets[i], v[i]) for i in np.flatnonzero(rule)]
+            beat = np.maximum(bar - GAIN, np.where(conf >= MIN_CONF, conf, 0.0))
+            count, here, pattern = total, nxt, new
+    return found
 
 
 def prune(found: dict[tuple[int, ...], np.ndarray], prior: np.ndarray) -> dict[tuple[int, ...], tuple[int, float]]:
     """Rules itemset -> (class, confidence), without those no surer than a rule on a subset."""
     rules: dict[tuple[int, ...], tuple[int, float]] = {}
     for items in sorted(found, key=len):
-        k, conf = confidence(found[items], prior)
+        k, conf = (x[0] for x in confidence(found[items][None, :], prior))
         below = [rules.get(c) for n in range(1, len(items)) for c in itertools.combinations(items, n)]
         if all(r is None or conf >= r[1] + GAIN for r in below):
-            rules[items] = (k, conf)
+            rules[items] = (int(k), float(conf))
     return rules
 
 
@@ -135,58 +216,75 @@ class Model:
     """Rules over words; ``classes`` are the subjects, and index len(classes) stands for "in passing"."""
 
     classes: list[str]
-    rank: dict[str, int]
+    words: list[str]
     rules: dict[tuple[int, ...], tuple[int, float]]
-    share: float = 0.15
+    share: float = 0.18
+    _levels: list = field(default_factory=list, repr=False)
 
     def __post_init__(self) -> None:
-        self.trie: dict = {}  # item -> [rule or None, trie of the items after it]
-        for items, rule in self.rules.items():
-            at = self.trie
-            for i in items[:-1]:
-                at = at.setdefault(i, [None, {}])[1]
-            at.setdefault(items[-1], [None, {}])[0] = (rule[0], math.log(rule[1] / (1 - min(rule[1], 0.999))))
-
-    def classify(self, words: frozenset[str], memo: dict | None = None) -> tuple[int, float]:
-        """(class, evidence in log odds) of a sentence; class -1 without matching rule. A class's evidence is
-        the sum of its three surest matching rules."""
-        if memo is not None and words in memo:
-            return memo[words]
-        rank = self.rank
-        items = sorted([rank[w] for w in words if w in rank])
-        score: dict[int, list[float]] = {}
-
-        def walk(trie: dict, start: int) -> None:
-            for j in range(start, len(items)):
-                node = trie.get(items[j])
-                if node:
-                    if node[0]:
-                        score.setdefault(node[0][0], []).append(node[0][1])
-                    if node[1]:
-                        walk(node[1], j + 1)
-
-        walk(self.trie, 0)
-        best = (-1, 0.0)
-        for k, e in sorted(score.items()):
-            total = sum(e) if len(e) < 4 else sum(sorted(e)[-3:])
-            if total > best[1]:
-                best = (k, total)
-        if memo is not None:
-            if len(memo) > 20_000:
-                memo.clear()
-            memo[words] = best
-        return best
-
-    def shares(self, parts, memo: dict | None = None) -> np.ndarray:
-        """Part of the text with a subject, at least half of the text, that each subject holds."""
-        held, words_in_all = np.zeros(len(self.classes) + 1), 0
-        for words, n in parts:
-            words_in_all += n
-            k, _ = self.classify(words, memo)
-            if k >= 0:
-                held[k] += n
-        held = held[:-1]
-        return held / max(held.sum(), words_in_all / 2, 1e-9)
+        self._words = pa.array(self.words, pa.string())
+        wide = max(1, len(self.words))
+        nodes: dict[tuple[int, ...], int] = {(): 0}
+        depth = max(map(len, self.rules), default=0)
+        self._levels = []
+        for d in range(1, depth + 1):  # a trie: of each level the keys (node above, item), the nodes' rules, and whether it goes on
+            heads = sorted({r[:d] for r in self.rules if len(r) >= d}, key=lambda h: (nodes[h[:-1]], h[-1]))
+            key = np.array([nodes[h[:-1]] * wide + h[-1] for h in heads], np.int64)
+            cls = np.array([self.rules[h][0] if h in self.rules else -1 for h in heads])
+            p = np.array([self.rules[h][1] if h in self.rules else 0.5 for h in heads])
+            longer = {r[:d] for r in self.rules if len(r) > d}
+            table = None
+            if len(nodes) * wide <= DENSE:  # the same lookup by place
+                table = np.full(len(nodes) * wide, -1, np.int32)
+                table[key] = np.arange(len(key))
+            self._levels.append((key, table, cls, np.log(p / (1 - np.minimum(p, 0.999))), np.array([h in longer for h in heads])))
+            nodes = {h: i for i, h in enumerate(heads)}
+
+    def __getstate__(self) -> tuple:
+        return self.classes, self.words, self.rules, self.share  # tables are made again where they are used
+
+    def __setstate__(self, state: tuple) -> None:
+        self.classes, self.words, self.rules, self.share = state
+        self.__post_init__()
+
+    def items(self, s: Sentences) -> Bags:
+        at = pc.fill_null(pc.index_in(s.words, self._words), -1).to_numpy()
+        return bags(s.sentence, at.astype(np.int64), len(s.length))
+
+    def classify(self, sets: Bags) -> np.ndarray:
+        """Class of each set by the evidence of all matching rules; -1 without a match, the lower class of equals."""
+        n, wide, k = sets.n, max(1, len(self.words)), len(self.classes) + 1
+        score = np.zeros(n * k)
+        owner, end = sets.owner, sets.start[1:]
+        pos, node = np.arange(len(sets.items)), np.zeros(len(sets.items), np.int64)
+        for key, table, cls, odds, longer in self._levels:
+            want = node * wide + sets.items[pos]
+            if table is None:
+                i = np.searchsorted(key, want)
+                hit = (i < len(key)) & (key[np.minimum(i, len(key) - 1)] == want)
+            else:
+                i = table[want]
+                hit = i >= 0
+            pos, i = pos[hit], i[hit]
+            rule = cls[i] >= 0
+            score += np.bincount(owner[pos[rule]] * k + cls[i[rule]], odds[i[rule]], len(score))
+            go = longer[i]
+            pos, i = pos[go], i[go]
+            more = end[owner[pos]] - pos - 1
+            pos, node = _ranges(pos + 1, more), np.repeat(i, more)
+        score = score.reshape(n, k)
+        return np.where(score.max(1, initial=0) > 0, score.argmax(1) if n else 0, -1)
+
+    def shares(self, s: Sentences, cls: np.ndarray, n: int) -> np.ndarray:
+        """(n, classes): part of each text with a subject, at least COVER of the text, that each subject holds."""
+        k, text, length, cls = len(self.classes), s.text, s.length[s.which], cls[s.which]
+        on = (cls >= 0) & (cls < k)
+        held = np.bincount(text[on] * k + cls[on], length[on], n * k).reshape(n, k)
+        return held / np.maximum(np.maximum(held.sum(1), np.bincount(text, length, n) * COVER), 1e-9)[:, None]
+
+    def read(self, texts: pa.Array) -> np.ndarray:
+        s = sentences(texts)
+        return self.shares(s, self.classify(self.items(s)), len(texts))
 
 
 # ---- on Spark
@@ -200,89 +298,99 @@ def clean_labels(labels: DataFrame, subjects: list[str]) -> DataFrame:
     return per.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_DOCS)
 
 
-def split(docs: DataFrame) -> DataFrame:
-    """(doc_id, labels, words, n): one row for each sentence of labelled documents."""
-
-    def run(frames):
-        for pdf in frames:
-            out = [(d, ls, sorted(w), n) for d, ls, t in zip(pdf["doc_id"], pdf["labels"], pdf["text"]) for w, n in sentences(t)]
-            yield pd.DataFrame(out, columns=["doc_id", "labels", "words", "n"])
-
-    texts = docs.where("doc_id is not null").select("doc_id", "labels", F.make_valid_utf8("text").alias("text"))
-    return texts.mapInPandas(run, "doc_id bigint, labels array<string>, words array<string>, n int")
-
-
-def mine(rows: DataFrame, n_classes: int, least: float = MIN_COUNT) -> tuple[dict[str, int], dict[tuple[int, ...], tuple[int, float]]]:
-    """Item ranks and rules from (words, target: class weights)."""
-    spark = rows.sparkSession
-    vec = [F.sum(F.element_at("target", i + 1)).alias(f"c{i}") for i in range(n_classes)]
-    *sums, n_rows = rows.agg(*vec, F.count(F.lit(1))).first()
-    prior = np.array([x or 0.0 for x in sums], float)
+def _clean(df: DataFrame, *cols: str) -> DataFrame:
+    return df.where("doc_id is not null").select("doc_id", *cols, F.make_valid_utf8("text").alias("text"))
+
+
+def _targets(hits: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """A document's labels spread evenly over each of its sentences."""
+    return (hits / np.maximum(hits.sum(1, keepdims=True), 1))[text]
+
+
+def _labelled(batch: pa.RecordBatch, subjects: list[str]) -> np.ndarray:
+    return np.array([[s in ls for s in subjects] for ls in batch.column("labels").to_pylist()], float).reshape(batch.num_rows, len(subjects))
+
+
+def _passes(batch: pa.RecordBatch, subjects: list[str], first: Model | None, passing: float = 0.15) -> tuple[Sentences, np.ndarray]:
+    """Sentences of a batch and their class targets, of equal ones the sum: labels spread evenly, or by the first pass's rules."""
+    s, hits = sentences(batch.column("text")), _labelled(batch, subjects)
+    target = _targets(hits, s.text)
+    if first is not None:
+        k = len(subjects)
+        cls = first.classify(first.items(s))
+        share = first.shares(s, cls, batch.num_rows)
+        cls = cls[s.which]
+        safe = np.clip(cls, 0, k - 1)
+        meant = (cls < k) & ((hits[s.text, safe] > 0) | (share[s.text, safe] >= passing))
+        to = np.where(meant, safe, k)
+        target = np.hstack([target, np.zeros((len(target), 1))])
+        target[cls >= 0] = np.eye(k + 1)[to[cls >= 0]]
+    return s, np.stack([np.bincount(s.which, target[:, i], len(s.length)) for i in range(target.shape[1])], 1)
+
+
+def mine(docs: DataFrame, subjects: list[str], first: Model | None, scratch: Scratch, least: float = MIN_COUNT) -> tuple[list[str], dict[tuple[int, ...], tuple[int, float]]]:
+    """Words and rules from labelled documents (labels, text)."""
+    spark = docs.sparkSession
+    c = len(subjects) + (first is not None)
+    cs = [f"c{i}" for i in range(c)]
+    typed = ", ".join(f"{x} double" for x in cs)
+    model = spark.sparkContext.broadcast(first)
+
+    def count(batches):
+        for b in batches:
+            s, target = _passes(b, subjects, model.value)
+            code = s.words.dictionary_encode()
+            sets = bags(s.sentence, code.indices.to_numpy().astype(np.int64), len(s.length))
+            v = [np.bincount(sets.items, target[sets.owner, i], len(code.dictionary)) for i in range(c)]
+            whole = pa.RecordBatch.from_arrays([code.dictionary, *map(pa.array, v)], ["word", *cs])
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), *[pa.array([float(x)]) for x in target.sum(0)]], ["word", *cs])
+            yield whole
+
+    total = sum((F.col(x) for x in cs), F.lit(0.0))
+    words = docs.mapInArrow(count, f"word string, {typed}").groupBy("word").agg(*[F.sum(x).alias(x) for x in cs])
+    words = words.where(F.col("word").isNull() | (total >= least)).toPandas()
+    prior = words[words["word"].isna()][cs].to_numpy(float).sum(0)
     prior = prior / max(prior.sum(), 1e-9)
-    least = max(least, MIN_SUPPORT * n_rows)
-    total = sum((F.col(f"c{i}") for i in range(n_classes)), F.lit(0.0))
-    lift = F.greatest(*[F.col(f"c{i}") / total / float(max(p, 1e-6)) for i, p in enumerate(prior)], F.lit(0.0))
-    items = rows.select(F.explode("words").alias("word"), "target").groupBy("word").agg(*vec)
-    items = items.withColumn("total", total).where(F.col("total") >= least).where(lift >= MIN_LIFT)
-    flist = items.orderBy(F.desc("total"), "word").limit(MAX_ITEMS).toPandas()
-    rank = {w: i for i, w in enumerate(flist["word"])}
-    single = np.array([confidence(v, prior)[1] for v in flist[[f"c{i}" for i in range(n_classes)]].to_numpy(float)])
-    groups = 4 * parallelism(spark)
-    shared = spark.sparkContext.broadcast(rank)
-
-    def project(frames):
-        for pdf in frames:
-            out = []
-            for words, target in zip(pdf["words"], pdf["target"]):
-                ranks = sorted(shared.value[w] for w in words if w in shared.value)
-                sent = set()
-                for end in range(len(ranks) - 1, -1, -1):  # the longest prefix each group needs
-                    g = ranks[end] % groups
-                    if g not in sent:
-                        sent.add(g)
-                        out.append((g, ranks[: end + 1], *target))
-            yield pd.DataFrame(out, columns=["g", "prefix", *[f"c{i}" for i in range(n_classes)]])
-
-    cs = ", ".join(f"c{i} double" for i in range(n_classes))
-    sent = rows.select("words", "target").mapInPandas(project, f"g int, prefix array<int>, {cs}")
-    sent = sent.groupBy("g", "prefix").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(n_classes)])
-
-    def grow(key, pdf):
-        base = [(tuple(int(i) for i in p), v) for p, v in zip(pdf["prefix"], pdf[[f"c{i}" for i in range(n_classes)]].to_numpy())]
-        own = {i for p, _ in base for i in p if i % groups == key[0]}
-        got = [(list(i), *v) for i, v in patterns(base, own, least, prior, single)]
-        return pd.DataFrame(got, columns=["items", *[f"c{i}" for i in range(n_classes)]])
-
-    found = sent.groupBy("g").applyInPandas(grow, f"items array<int>, {cs}").toPandas()
-    sets = {tuple(sorted(int(x) for x in i)): v for i, v in zip(found["items"], found[[f"c{i}" for i in range(n_classes)]].to_numpy(float))}
+    words = words[words["word"].notna()]
+    v = words[cs].to_numpy(float)
+    lift = (v / np.maximum(v.sum(1, keepdims=True), 1e-9) / np.maximum(prior, 1e-6)).max(1, initial=0)
+    words = words[lift >= MIN_LIFT].assign(n=v.sum(1)[lift >= MIN_LIFT]).sort_values(["n", "word"], ascending=[False, True])
+    names, v = words["word"].to_list(), words[cs].to_numpy(float)
+    single, single_n = confidence(v, prior)[1] if len(v) else np.zeros(0), v.sum(1)
+    groups = 2 * parallelism(spark)
+    shared = spark.sparkContext.broadcast((names, single, single_n, prior))
+
+    def project(batches):
+        vocabulary = pa.array(shared.value[0], pa.string())
+        for b in batches:
+            s, target = _passes(b, subjects, model.value)
+            at = pc.fill_null(pc.index_in(s.words, vocabulary), -1).to_numpy().astype(np.int64)
+            sets = bags(s.sentence, at, len(s.length))
+            owner, g = sets.owner, sets.items % groups
+            last = np.zeros(len(g), bool)  # the longest prefix each group needs of a sentence
+            last[len(g) - 1 - np.unique((owner * groups + g)[::-1], return_index=True)[1]] = True
+            end = np.flatnonzero(last)
+            n = end - sets.start[owner[end]] + 1
+            prefix = sets.items[_ranges(sets.start[owner[end]], n)].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(prefix))
+            yield pa.RecordBatch.from_arrays([pa.array(g[end].astype(np.int32)), lists, *[pa.array(target[owner[end], i]) for i in range(c)]], ["g", "prefix", *cs])
+
+    sent = docs.mapInArrow(project, f"g int, prefix array<int>, {typed}").groupBy("g", "prefix").agg(*[F.sum(x).alias(x) for x in cs])
+
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        _, conf, n, p = shared.value
+        lists = t.column("prefix").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        base = Bags(np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int64), lists.flatten().to_numpy().astype(np.int64))
+        w = np.stack([t.column(x).to_numpy() for x in cs], 1)
+        got = grow(base, w, np.arange(key[0].as_py(), len(conf), groups), conf, n, p, least)
+        return pa.table([pa.array([list(i) for i, _ in got], pa.list_(pa.int32())), *[pa.array([float(v[i]) for _, v in got]) for i in range(c)]], ["items", *cs])
+
+    found = sent.groupBy("g").applyInArrow(run, f"items array<int>, {typed}").toPandas()
+    sets = {tuple(int(x) for x in i): v for i, v in zip(found["items"], found[cs].to_numpy(float))}
     shared.unpersist()
-    return rank, prune(sets, prior)
-
-
-def _relabel(rows: DataFrame, model: Model, passing: float = 0.15) -> DataFrame:
-    """Targets of the second pass, from each document's sentences under the first pass's rules."""
-    k, shared = len(model.classes), rows.sparkSession.sparkContext.broadcast(model)
-    index = {c: i for i, c in enumerate(model.classes)}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, memo = shared.value, {}
-        sets = [frozenset(w) for w in pdf["words"]]
-        share = m.shares(zip(sets, pdf["n"]), memo)
-        known = [index[c] for c in pdf["labels"].iloc[0]]
-        out = []
-        for words in sets:
-            c, _ = m.classify(words, memo)
-            target = np.zeros(k + 1)
-            if c < 0:
-                target[known] = 1 / len(known)
-            elif c in known or share[c] >= passing:
-                target[c] = 1
-            else:
-                target[k] = 1
-            out.append(target)
-        return pd.DataFrame({"words": pdf["words"].to_list(), "target": out})
-
-    return rows.groupBy("doc_id").applyInPandas(run, "words array<string>, target array<double>")
+    model.unpersist()
+    return names, prune(sets, prior)
 
 
 def fit(docs: DataFrame, labels: DataFrame, subjects: list[str]) -> Model:
@@ -290,35 +398,46 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: list[str]) -> Model:
     spark, subjects = docs.sparkSession, sorted(subjects)
     scratch = Scratch(spark, "rules")
     known = F.broadcast(clean_labels(labels, subjects))  # at most MAX_DOCS short rows
-    rows = scratch.keep(split(docs.join(known, "doc_id")))
-    even = F.array(*[F.when(F.array_contains("labels", s), 1 / F.size("labels")).otherwise(F.lit(0.0)) for s in subjects])
-    first = Model(subjects, *mine(rows.withColumn("target", even), len(subjects)))
-    again = scratch.keep(_relabel(rows, first))
-    second = Model(subjects, *mine(again, len(subjects) + 1))
+    held = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(HELD_OUT)) == 0
+    rows = scratch.keep(_clean(docs.join(known, "doc_id"), "labels").withColumn("held", held))
+    seen = rows.where("not held").select("labels", "text")
+    first = Model(subjects, *mine(seen, subjects, None, scratch))
+    second = Model(subjects, *mine(seen, subjects, first, scratch))
     shared = spark.sparkContext.broadcast(second)
 
-    def measure(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = shared.value.shares([(frozenset(w), n) for w, n in zip(pdf["words"], pdf["n"])])
-        there = set(pdf["labels"].iloc[0])
-        return pd.DataFrame({"share": got, "label": [s in there for s in subjects]})
+    def measure(batches):
+        for b in batches:
+            share, hits = shared.value.read(b.column("text")), _labelled(b, subjects)
+            pc_ = np.minimum(np.floor(share * 100), 99).astype(np.int32).ravel()
+            n, hit = np.bincount(pc_, minlength=100), np.bincount(pc_, hits.ravel(), 100)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(100, dtype=np.int32)), pa.array(hit), pa.array(n.astype(float))], ["pc", "hit", "n"])
 
-    seen = rows.groupBy("doc_id").applyInPandas(measure, "share double, label boolean").where("share > 0.03")
-    bands = seen.groupBy(F.floor(F.col("share") * 100).cast("int").alias("pc")).agg(F.sum(F.col("label").cast("int")).alias("hit"), F.count(F.lit(1)).alias("n")).toPandas()
-    second.share = calibrate(bands)
+    bands = rows.where("held").select("labels", "text").mapInArrow(measure, "pc int, hit double, n double")
+    second.share = calibrate(bands.groupBy("pc").agg(F.sum("hit").alias("hit"), F.sum("n").alias("n")).toPandas())
+    shared.unpersist()
     scratch.drop_all()
     return second
 
 
-def calibrate(bands: pd.DataFrame) -> float:
-    """The share from which on labels and shares agree best, by F1; within reason of a fifth."""
-    if not len(bands):
-        return 0.15
-    wanted, best = bands["hit"].sum(), (0.0, 0.15)
-    for pc in range(8, 25):
-        top = bands[bands["pc"] >= pc]
-        f1 = 2 * top["hit"].sum() / max(1, top["n"].sum() + wanted)
-        best = max(best, (f1, pc / 100))
-    return best[1]
+def isotonic(y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Rising values nearest to y under weights w, by pooling neighbours that fall."""
+    pools: list[list[float]] = []
+    for a, b in zip(y, w):
+        pools.append([a * b, b, 1])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+            s, t, n = pools.pop()
+            pools[-1] = [pools[-1][0] + s, pools[-1][1] + t, pools[-1][2] + n]
+    return np.concatenate([np.full(n, s / t) for s, t, n in pools]) if pools else np.zeros(0)
+
+
+def calibrate(bands: pd.DataFrame, about: int = 18) -> float:
+    """The share from which a reader more likely than not gives the label, by isotonic regression over percents of
+    text. Without any documents it is ``about``, just below the fifth asked for: each percent starts with one
+    document that says so. Between two percents without documents of their own the middle is taken."""
+    hit, n = np.zeros(100), np.zeros(100)
+    hit[bands["pc"].to_numpy(int)], n[bands["pc"].to_numpy(int)] = bands["hit"], bands["n"]
+    likely = isotonic((hit + (np.arange(100) >= about)) / (n + 1), n + 1) >= 0.5
+    return float(max(1, np.argmax(likely))) / 100
 
 
 def subjects_of(docs: DataFrame, model: Model) -> DataFrame:
@@ -326,16 +445,14 @@ def subjects_of(docs: DataFrame, model: Model) -> DataFrame:
     doc_id the greater share. Rows without doc_id are left out."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(frames):
-        memo: dict = {}
+    def run(batches):
         m = shared.value
-        for pdf in frames:
-            out = []
-            for d, t in zip(pdf["doc_id"], pdf["text"]):
-                share = m.shares(sentences(t), memo)
-                out += [(d, m.classes[k], float(share[k])) for k in np.flatnonzero(share >= m.share)]
-            yield pd.DataFrame(out, columns=["doc_id", "subject", "share"])
-
-    texts = docs.where("doc_id is not null").select("doc_id", F.make_valid_utf8("text").alias("text"))
-    found = texts.mapInPandas(run, "doc_id bigint, subject string, share double")
+        names = pa.array(m.classes, pa.string())
+        for b in batches:
+            share = m.read(b.column("text"))
+            i, k = np.nonzero(share >= m.share)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(i)), names.take(pa.array(k)), pa.array(share[i, k])], ["doc_id", "subject", "share"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    found = _clean(docs).mapInArrow(run, f"doc_id {kind}, subject string, share double")
     return found.groupBy("doc_id", "subject").agg(F.max("share").alias("share"))
