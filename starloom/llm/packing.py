@@ -1,8 +1,8 @@
 """Fixed-capacity containers filled by Karmarkar-Karp multiway differencing.
 
 Items longer than the capacity are split into full containers and a rest. All other items are ordered by a hash
-and cut, by prefix sums of their sizes, into shards of about WINDOWS containers; each shard is packed on its
-own. Differencing starts with one partial partition per item and keeps merging the two with the largest
+and cut, by prefix sums, into shards of about WINDOWS containers and at most ITEMS items; each shard is packed on
+its own. Differencing starts with one partial partition per item and keeps merging the two with the largest
 imbalance, heaviest window against lightest, so the windows of a shard end up nearly equal. Where one exceeds
 the capacity, the shard is packed again with one window more. A shard's size is fixed by the capacity, so
 neither the number of items nor any group of equal items changes what one task holds.
@@ -22,7 +22,7 @@ from starloom.runtime import Scratch
 
 WINDOWS = 64
 FILL = 0.995  # shards are cut at this part of their capacity
-BUNDLE = 64  # tiny items are bundled up to 1/BUNDLE of the capacity, so a shard has at most 2 * WINDOWS * BUNDLE
+ITEMS = 8192  # items of a shard at most
 
 
 def difference(sizes: np.ndarray, k: int) -> list[list[int]]:
@@ -59,25 +59,15 @@ def difference(sizes: np.ndarray, k: int) -> list[list[int]]:
 
 def pack_shard(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """Window number of each item; as few windows as differencing manages, counting up from the lower bound."""
-    order = np.argsort(sizes, kind="stable")
-    bundles, held = [[]], 0
-    for i in order:  # smallest first; only tiny items share a bundle
-        if bundles[-1] and held + sizes[i] > capacity // BUNDLE:
-            bundles.append([])
-            held = 0
-        bundles[-1].append(int(i))
-        held += sizes[i]
-    units = np.array([sizes[b].sum() for b in bundles], np.int64)
-    k = max(1, -(-int(units.sum()) // capacity))
+    k = max(1, -(-int(sizes.sum()) // capacity))
     while True:
-        windows = difference(units, k)
-        if max(int(units[w].sum()) for w in windows) <= capacity:
+        windows = difference(sizes, k)
+        if max(int(sizes[w].sum()) for w in windows) <= capacity:
             break
         k += 1
     out = np.empty(len(sizes), np.int32)
-    for w, units_of in enumerate(windows):
-        for u in units_of:
-            out[bundles[u]] = w
+    for w, items in enumerate(windows):
+        out[items] = w
     return out
 
 
@@ -99,11 +89,13 @@ def pack(df: DataFrame, key: str, size: str, capacity: int = 4096) -> DataFrame:
     full = cut.where("full > 0").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("full") - 1)))
     full = full.select("key", "piece", "n_pieces", (F.col("piece") * F.lit(capacity)).cast("long").alias("start"), F.lit(capacity).cast("long").alias("size"), name.alias("container"))
     rest = cut.where("rest > 0").select("key", F.col("full").alias("piece"), "n_pieces", (F.col("full") * F.lit(capacity)).cast("long").alias("start"), F.col("rest").alias("size"))
-    rest = rest.withColumn("h", F.xxhash64("key", "size"))
-    placed = prefix_sums(spark, rest, [], ["h", "key", "size", "piece"], "size", "before", scratch)
-    shard = F.floor(F.col("before") / F.lit(WINDOWS * capacity * FILL)).cast("long")
+    room = int(WINDOWS * capacity * FILL)
+    # an item takes its size of a shard's room, and a tiny one as much as keeps the shard at ITEMS
+    rest = rest.withColumns({"h": F.xxhash64("key", "size"), "takes": F.greatest(F.col("size"), F.lit(-(-room // ITEMS)))})
+    placed = prefix_sums(spark, rest, [], ["h", "key", "size", "piece"], "takes", "before", scratch)
+    shard = F.expr(f"before div {room}")
 
-    def run(k, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["h", "key", "size", "piece"], kind="stable")
         w = pack_shard(pdf["size"].to_numpy(np.int64), capacity)
         return pdf[["key", "piece", "n_pieces", "start", "size"]].assign(container=[f"shard-{k[0]}-{i}" for i in w])
@@ -114,6 +106,12 @@ def pack(df: DataFrame, key: str, size: str, capacity: int = 4096) -> DataFrame:
     return full.unionByName(mixed).unionByName(none).withColumnRenamed("key", key)
 
 
+def split_items(packed: DataFrame, key: str) -> DataFrame:
+    """(key) of the items that the packing put into more than one container."""
+    used = packed.where("container is not null").select(key, "container").distinct()
+    return used.groupBy(key).agg(F.count(F.lit(1)).alias("_containers")).where("_containers > 1").select(key)
+
+
 def fills(packed: DataFrame, capacity: int = 4096) -> DataFrame:
     """(container, n_items, used, unused) of every container."""
     used = packed.where("container is not null").groupBy("container").agg(F.count(F.lit(1)).alias("n_items"), F.sum("size").alias("used"))

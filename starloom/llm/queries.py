@@ -78,7 +78,7 @@ QUERIES = {
     "p4_ranked": lambda s, d: topn.heaviest_progenitors(_nodes(s, d), 10),
     "p5_found": p5_found,
     "p5_percentiles": p5_percentiles,
-    "p6_found": lambda s, d: _packed(s, d).where("n_pieces > 1").select("doc_id").distinct(),
+    "p6_found": lambda s, d: packing.split_items(_packed(s, d), "doc_id"),
     "p6_containers": lambda s, d: packing.fills(_packed(s, d)),
     "p6_report": lambda s, d: packing.report(_packed(s, d)),
     "p7_found": lambda s, d: mixing.short_sources(_mixable(s, d), table(s, d, "mix_targets")),
