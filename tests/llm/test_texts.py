@@ -64,6 +64,23 @@ def test_packing_is_tight_whole_and_within_capacity(spark):
     assert len(used) <= 1.02 * -(-total // 4096) + 1
 
 
+def test_split_items_come_from_the_containers(spark, monkeypatch):
+    df = spark.createDataFrame([(1, 250), (2, 100), (3, 40), (4, 40), (5, 101)], "doc long, n long")
+    got = lambda: {r[0] for r in packing.split_items(packing.pack(df, "doc", "n", 100), "doc").collect()}
+    assert got() == {1, 5}
+    real = packing.prefix_sums
+    # a packing that lets items fall out shows in the result
+    monkeypatch.setattr(packing, "prefix_sums", lambda s, d, *a: real(s, d, *a).where("key <> 5"))
+    assert got() == {1}
+
+
+def test_shards_are_bounded_by_items(spark, monkeypatch):
+    monkeypatch.setattr(packing, "ITEMS", 64)
+    df = spark.createDataFrame([(i, 1) for i in range(1000)], "doc long, n long")
+    shards = packing.pack(df, "doc", "n", 1000).groupBy(F.substring_index("container", "-", 2)).count().collect()
+    assert len(shards) >= 15 and max(r["count"] for r in shards) <= 65
+
+
 def test_packing_ties_tiny_items_and_empty_tables(spark):
     check(spark, [(i, 700) for i in range(300)], 1000)
     check(spark, [(i, 1) for i in range(3000)], 100)
@@ -100,6 +117,26 @@ def test_mix_reaches_weights_and_reports_what_cannot(spark):
     assert all(0 < r["copies"] <= {"big": 2, "mid": 5, "few": 3}[r["source"]] for r in rows)
 
 
+def test_short_sources_come_from_the_drawn_mix(spark, monkeypatch):
+    docs = [(i, "a" if i < 50 else "b", "en", "x", 100) for i in range(500)]
+    _, d, t = mixed(spark, docs, [("a", 0.5, 2), ("b", 0.5, 2)])
+    assert {r[0] for r in mixing.short_sources(d, t).collect()} == {"a"}
+    monkeypatch.setattr(mixing, "rake", lambda cells, goals: [20.0] * len(cells))  # raking that breaks the caps
+    monkeypatch.setattr(mixing, "allot", lambda cells, goals: (cells["repeats"] * cells["n"]).round().astype(int))
+    assert not mixing.short_sources(d, t).count()
+
+
+def test_all_sizes_and_languages_are_drawn_alike(spark):
+    rnd = random.Random(8)
+    docs = [(i, "a", rnd.choice(["en", "xx", "zz"]), "t", int(rnd.lognormvariate(5, 1.5)) + 1) for i in range(3000)] + [(5000, "a", "xx", "t", 90_000)]
+    docs += [(9000 + i, "b", "en", "t", 200) for i in range(3000)]
+    got, d, t = mixed(spark, docs, [("a", 0.4, 3), ("b", 0.6, 3)])
+    for r in got.values():
+        assert r["reached"] == pytest.approx(r["goal"], rel=2e-3)
+    names = spark.createDataFrame([("EN-us",), (" de ",), ("english",), (None,), ("中文",), ("sw_KE",)], "c string")
+    assert [r[0] for r in names.select(mixing.language("c")).collect()] == ["en", "de", "other", "other", "other", "sw"]
+
+
 def test_raking_meets_all_margins_where_caps_allow():
     cells = pd.DataFrame([(s, la, t, 100.0 + 10 * i) for i, (s, la, t) in enumerate((s, la, t) for s in "pq" for la in "xy" for t in "uv")], columns=["source", "lang", "topic", "tokens"])
     goals = mixing.reach(pd.DataFrame({"source": ["p", "q"], "weight": [0.7, 0.3], "max_repeats": [9, 9]}), cells.groupby("source")["tokens"].sum().to_dict(), 1000.0)
