@@ -5,20 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.operators.skew import lookup
 from starloom.runtime import Scratch
 
 
 def _roots(to: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, to) with every pointer followed to its end; pointers never go up, so their ends are fixed points."""
-    n = to.count()
-    while True:
+    moved = 1
+    while moved:
         ahead = to.select(F.col("id").alias("to"), F.col("to").alias("ahead"))
-        after = scratch.keep(lookup(to, ahead, "to", n, "inner").select("id", F.col("ahead").alias("to"), (F.col("ahead") < F.col("to")).alias("moved")))
+        step = to.join(ahead, "to").select("id", F.col("ahead").alias("to"), (F.col("ahead") < F.col("to")).alias("moved"))
+        after, moved = scratch.keep_counted(step, F.col("moved"))
         scratch.drop(to)
         to = after.select("id", "to")
-        if not after.where("moved").limit(1).count():
-            return to
+    return after.select("id", "to")
 
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -26,28 +25,26 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     Each round every node points to the least of itself and its neighbours; pointers are followed to their
     ends, and the graph is contracted to the links between different ends. Rounds therefore handle ever fewer
-    nodes and links. Minima are merged before they are shuffled, and reads of a popular end go through
-    :func:`lookup`. At last the rounds' pointers are chained, the smallest table first.
+    nodes and links. Minima are merged before they are shuffled. A popular end makes a skewed join, which is
+    written right away, so that adaptive execution splits it. At last the rounds' pointers are chained, the
+    smallest table first. A node linked to itself only is its own component.
     """
-    ends = edges.where("u is not null and v is not null").select("u", "v")
-    both = scratch.keep(ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    nodes = both.select(F.col("u").alias("id")).distinct()
-    links, maps = both.where("u <> v"), []
-    n = links.count()
+    links, n = scratch.keep_counted(edges.where("u is not null and v is not null").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+    maps = []
     while n:
-        least = links.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("near"))
+        both = links.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
+        least = both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("near"))
         to = _roots(scratch.keep(least.select("id", F.least("id", "near").alias("to"))), scratch)
         maps.append(to)
-        moved = lookup(links, to.select(F.col("id").alias("u"), F.col("to").alias("ru")), "u", n, "inner")
-        moved = lookup(moved, to.select(F.col("id").alias("v"), F.col("to").alias("rv")), "v", n, "inner")
-        links = scratch.keep(moved.where("ru <> rv").select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct())
-        n = links.count()
+        moved = links.join(to.select(F.col("id").alias("u"), F.col("to").alias("ru")), "u").select("ru", "v")
+        moved = moved.join(to.select(F.col("id").alias("v"), F.col("to").alias("rv")), "v").where("ru <> rv")
+        after, n = scratch.keep_counted(moved.select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct())
+        scratch.drop(links)
+        links = after
     label = None
     for to in reversed(maps):
         if label is not None:
             further = label.select(F.col("id").alias("to"), F.col("to").alias("end"))
-            to = scratch.keep(lookup(to, further, "to").select("id", F.coalesce("end", "to").alias("to")))
+            to = scratch.keep(to.join(further, "to", "left").select("id", F.coalesce("end", "to").alias("to")))
         label = to
-    if label is None:
-        return nodes.withColumn("label", F.col("id"))
-    return nodes.join(label, "id", "left").select("id", F.coalesce("to", "id").alias("label"))
+    return links.select(F.col("u").alias("id"), F.col("v").alias("label")) if label is None else label.select("id", F.col("to").alias("label"))

@@ -38,7 +38,11 @@ def lookup(left: DataFrame, right: DataFrame, key: str, rows: int | None = None,
     Rows of hot keys meet a broadcast of those keys' rows of ``right``: at most one for each hot key, and
     hot keys are bounded in number (see :func:`hot_keys`). All others take the ordinary shuffled join.
     """
-    hot = hot_keys(left, key, rows)
+    return join_hot(left, right, key, hot_keys(left, key, rows), how)
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, hot: list, how: str = "left") -> DataFrame:
+    """The join of :func:`lookup` with its hot keys given."""
     if not hot:
         return left.join(right, key, how)
     is_hot = F.col(key).isin(hot)

@@ -2,19 +2,22 @@
 
 Scratch tables are Parquet, written through Spark's commit protocol below the folder named by
 ``spark.checkpoint.dir``: they survive the loss of any executor, and reading them is columnar.
-Only where that setting is absent (tests, a laptop) a folder of this process is used instead.
+Only in a local session without that setting (tests, a laptop) a folder of this process is used instead; on a
+cluster it is an error.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
 _RUNS: list[Scratch] = []
@@ -59,10 +62,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none."""
+    """The folder all executors share; a temporary one only in a local session that names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="starloom-"))
         atexit.register(shutil.rmtree, _LOCAL[0], True)
@@ -89,6 +94,12 @@ class Scratch:
         self._paths[id(out)] = (out, path)
         return out
 
+    def keep_counted(self, df: DataFrame, where: Column | None = None) -> tuple[DataFrame, int]:
+        """The kept table and its number of rows (under a condition), counted while it is written."""
+        seen = Observation()
+        out = self.keep(df.observe(seen, F.count(F.lit(1) if where is None else F.when(where, 1)).alias("n")))
+        return out, int(seen.get["n"])
+
     def together(self, tables: list[DataFrame]) -> DataFrame:
         """Kept tables of one schema as a single scan, where a union would plan each of them."""
         return self.spark.read.schema(tables[0].schema).parquet(*[self._paths[id(t)][1] for t in tables])
