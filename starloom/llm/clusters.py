@@ -1,14 +1,8 @@
 """Clusters of mutually close records by grid density clustering, exact under a linking length.
 
-1. Positions are quantised to cells whose diagonal is at most the linking length, so records of one cell
-   are linked and only cells need to be clustered. Cells are counted; hot cells shrink to one row here.
-2. Coarse blocks of cells, each with a border of the neighbouring ones, drop the cells that have no other
-   cell in reach and too few records of their own. A block holds a bounded number of cells.
-3. Adjacent cells are joined, by way of wide cells of two a side: a cell goes to half the wide cells around its
-   own, where it meets up to eight others. Bounding boxes of their records decide most pairs: surely linked, or too far
-   apart. Of the rest, small ones compare their records (at most PAIRS), larger ones are quantised again at
-   half the side, until every pair is decided.
-4. Minimum labels are propagated over linked cells to convergence.
+Features are quantised to cells whose diagonal is at most the linking length, cells are counted, adjacent dense
+cells are joined, and minimum labels are propagated over them to convergence (see
+:mod:`starloom.operators.friends`); a cluster is described by its size and the members of its densest cell.
 
 Input ``id, x, y, z`` with any other columns, which are ignored. Repeated rows count once; rows with a null
 id, or a null, NaN or infinite coordinate, are left out; an id at several places belongs to each of them.
@@ -16,190 +10,36 @@ id, or a null, NaN or infinite coordinate, are left out; an id at several places
 
 from __future__ import annotations
 
-import itertools
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from starloom.operators.graph import connected_components
-from starloom.operators.skew import lookup
+from starloom.operators.friends import AXES, groups, linked
 from starloom.runtime import Scratch
 
-AXES = ("x", "y", "z")
-REACH = 2  # cells of side link / sqrt(3): two apart may be linked, three apart never
-PAIRS = 4096
-
-
-def wrapped(df: DataFrame, box: float) -> DataFrame:
-    """(id, x, y, z) inside [0, box) of the usable rows."""
-    ok = F.col("id").isNotNull()
-    for a in AXES:
-        ok = ok & F.col(a).isNotNull() & ~F.isnan(a) & (F.abs(F.col(a)) < F.lit(1e300))
-
-    def wrap(a):
-        w = F.col(a) - F.lit(box) * F.floor(F.col(a) / F.lit(box))
-        return F.when(w >= F.lit(box), F.lit(0.0)).otherwise(w).alias(a)
-
-    return df.where(ok).select("id", *[wrap(a) for a in AXES])
-
-
-def _cell(n: int, box: float):
-    at = [F.least(F.floor(F.col(a) * F.lit(n / box)).cast("long"), F.lit(n - 1)) for a in AXES]
-    return (at[0] * n + at[1]) * n + at[2]
-
-
-def _axes(n: int) -> list:
-    return [F.expr(f"cell div {n * n}"), F.expr(f"cell div {n} % {n}"), F.expr(f"cell % {n}")]
-
-
-def occupied(points: DataFrame, n: int, least: int, scratch: Scratch) -> DataFrame:
-    """Cells that may belong to a cluster: with another cell in reach, or with enough rows of their own."""
-    cells = scratch.keep(points.groupBy("cell").agg(F.count(F.lit(1)).alias("rows")))
-    count = max(1, cells.count())
-    k = min(64, max(4, int((0.05 * n**3 / count) ** (1 / 3))), max(1, n // 2))  # a sparse block is rarely shared
-    nb = max(1, n // k)
-    per_axis = []
-    for c in _axes(n):
-        own = F.least(F.floor(c / k).cast("long"), F.lit(nb - 1))
-        lower = F.when(c - own * k < REACH, F.pmod(own - 1 + nb, F.lit(nb)))
-        per_axis.append(F.array_distinct(F.array_compact(F.array(own, lower))))
-    copies = cells.select("cell", "rows", F.explode(per_axis[0]).alias("bx"), per_axis[1].alias("by"), per_axis[2].alias("bz"))
-    copies = copies.select("cell", "rows", "bx", F.explode("by").alias("by"), "bz").select("cell", "rows", "bx", "by", F.explode("bz").alias("bz"))
-    copies = copies.select("cell", "rows", ((F.col("bx") * nb + F.col("by")) * nb + F.col("bz")).alias("block"))
-    shared = F.count(F.lit(1)).over(Window.partitionBy("block"))
-    return copies.withColumn("cells", shared).where((F.col("cells") > 1) | (F.col("rows") >= least)).select("cell").distinct()
-
-
-def _boxes(points: DataFrame, *keys: str) -> DataFrame:
-    ends = [f(a).alias(f"{s}{a}") for a in AXES for s, f in (("l", F.min), ("h", F.max))]
-    return points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *ends)
-
-
-def _side(df: DataFrame, s: str) -> DataFrame:
-    """Columns of one side of a pair, renamed."""
-    return df.select(*[F.col(c).alias(f"{c}_{s}") for c in df.columns])
-
-
-def _decide(pairs: DataFrame, link: float) -> DataFrame:
-    """Adds ``near2`` and ``far2``, squared bounds of the distances between two bounding boxes."""
-    near, far = F.lit(0.0), F.lit(0.0)
-    for a in AXES:
-        up = F.col(f"l{a}_b") + F.col(f"s{a}") - F.col(f"h{a}_a")
-        down = F.col(f"l{a}_a") - F.col(f"h{a}_b") - F.col(f"s{a}")
-        gap = F.greatest(F.lit(0.0), up, down)
-        wide = F.greatest(F.col(f"h{a}_b") + F.col(f"s{a}") - F.col(f"l{a}_a"), F.col(f"h{a}_a") - F.col(f"l{a}_b") - F.col(f"s{a}"))
-        near, far = near + gap * gap, far + wide * wide
-    return pairs.withColumns({"near2": near, "far2": far}).where(F.col("near2") <= F.lit(link * link))
-
-
-def _compare(pairs: DataFrame, points: DataFrame, keys: list[str], link: float) -> DataFrame:
-    """Linked (cell_a, cell_b) of pairs with at most PAIRS record pairs each."""
-    a, b = _side(points.select(*keys, *AXES), "a"), _side(points.select(*keys, *AXES), "b")
-    both = pairs.select(*[f"{k}_{s}" for s in "ab" for k in keys], *[f"s{x}" for x in AXES])
-    both = both.join(a, [f"{k}_a" for k in keys]).join(b, [f"{k}_b" for k in keys])
-    d2 = F.lit(0.0)
-    for x in AXES:
-        d = F.col(f"{x}_b") + F.col(f"s{x}") - F.col(f"{x}_a")
-        d2 = d2 + d * d
-    return both.where(d2 <= F.lit(link * link)).select("cell_a", "cell_b").distinct()
-
-
-def _linked(points: DataFrame, cells: DataFrame, n: int, box: float, link: float, scratch: Scratch) -> DataFrame:
-    """(u, v) of adjacent cells with a pair of records within the linking length."""
-    side, wide, half = box / n, 2 * box / n, n // 2
-    steps = [o for o in itertools.product((-1, 0, 1), repeat=3) if o >= (0, 0, 0)]
-    offsets = F.array(*[F.struct(*[F.lit(i).cast("long").alias(f"d{a}") for a, i in zip(AXES, o)]) for o in steps])
-    double = [F.floor(c / 2).cast("long").alias(f"w{a}") for a, c in zip(AXES, _axes(n))]
-    coarse = cells.select("*", *double)
-    home = ((F.col("wx") * half + F.col("wy")) * half + F.col("wz")).alias("wide")
-    from_a = coarse.select(*[F.col(c).alias(f"{c}_a") for c in cells.columns], "wx", "wy", "wz", F.explode(offsets).alias("o"))
-    gap = F.lit(0.0)  # from the box of a cell's records to the wide cell it is sent to
-    for a in AXES:
-        up = (F.col(f"w{a}") + 1) * wide - F.col(f"h{a}_a")
-        down = F.col(f"l{a}_a") - F.col(f"w{a}") * wide
-        g = F.greatest(F.lit(0.0), F.when(F.col(f"o.d{a}") > 0, up).when(F.col(f"o.d{a}") < 0, down).otherwise(0.0))
-        gap = gap + g * g
-    from_a = from_a.where(gap <= link * link * (1 + 1e-9))
-    raw = [F.col(f"w{a}") + F.col(f"o.d{a}") for a in AXES]
-    to = [F.pmod(r, F.lit(half)) for r in raw]
-    shift = [(F.floor(r / half) * box).cast("double").alias(f"s{a}") for a, r in zip(AXES, raw)]
-    own = (F.col("o.dx") == 0) & (F.col("o.dy") == 0) & (F.col("o.dz") == 0)
-    probes = from_a.select(*[f"{c}_a" for c in cells.columns], own.alias("own"), ((to[0] * half + to[1]) * half + to[2]).alias("wide"), *shift)
-    met = probes.join(coarse.select(*[F.col(c).alias(f"{c}_b") for c in cells.columns], home), "wide")
-    pairs = _decide(met.where(~F.col("own") | (F.col("cell_a") < F.col("cell_b"))), link)
-    pairs = scratch.keep(pairs.select("cell_a", "cell_b", "n_a", "n_b", *[f"s{a}" for a in AXES], (F.col("far2") <= F.lit(link * link)).alias("sure")))
-    found = [pairs.where("sure").select("cell_a", "cell_b")]
-    open_ = pairs.where("not sure")
-    small = F.col("n_a") * F.col("n_b") <= PAIRS
-    found.append(_compare(open_.where(small), points, ["cell"], link))
-    large, level = open_.where(~small).select("cell_a", "cell_b", *[f"s{a}" for a in AXES]), 0
-    at, keys = points.withColumn("sub", F.lit(0).cast("long")), ["cell", "sub"]
-    large = scratch.keep(large.withColumns({"sub_a": F.lit(0).cast("long"), "sub_b": F.lit(0).cast("long")}))
-    while large.limit(1).count():
-        level += 1
-        q = 2**level
-        fine = F.lit(0).cast("long")
-        for a, c in zip(AXES, _axes(n)):  # place within the cell, at half the side of the last round
-            inside = F.floor((F.col(a) - c * side) * F.lit(q / side)).cast("long")
-            fine = fine * q + F.least(F.greatest(inside, F.lit(0)), F.lit(q - 1))
-        busy = large.select(F.col("cell_a").alias("cell"), F.col("sub_a").alias("sub")).unionByName(large.select(F.col("cell_b").alias("cell"), F.col("sub_b").alias("sub"))).distinct()
-        split = scratch.keep(at.join(busy, keys, "left_semi").withColumn("finer", fine))
-        parts = _boxes(split, "cell", "sub", "finer")
-        nearer = large.join(_side(parts, "a"), ["cell_a", "sub_a"]).join(_side(parts, "b"), ["cell_b", "sub_b"])
-        nearer = scratch.keep(_decide(nearer, link).withColumn("sure", F.col("far2") <= F.lit(link * link)))
-        sure = scratch.keep(nearer.where("sure").select("cell_a", "cell_b").distinct())
-        found.append(sure)
-        rest = nearer.join(sure, ["cell_a", "cell_b"], "left_anti").drop("sub_a", "sub_b").withColumnsRenamed({"finer_a": "sub_a", "finer_b": "sub_b"})
-        at = split.drop("sub").withColumnRenamed("finer", "sub")
-        found.append(_compare(rest.where(small), at, keys, link))
-        large = scratch.keep(rest.where(~small).select("cell_a", "cell_b", *[f"s{a}" for a in AXES], "sub_a", "sub_b"))
-    edges = found[0]
-    for f in found[1:]:
-        edges = edges.unionByName(f)
-    return edges.select(F.col("cell_a").alias("u"), F.col("cell_b").alias("v"))
-
-
-def grid_clusters(df: DataFrame, link: float, box: float, least: int) -> tuple[DataFrame, DataFrame]:
-    """Members (cluster_id, id, cell, x, y, z) and cells (cluster_id, cell, n) of all clusters of at least
-    ``least`` distinct ids; cluster_id is the smallest id. The box is periodic and at least 3 links wide."""
-    n = 2 * math.ceil(box * math.sqrt(3) / link / 2)
-    if n < 6:
-        raise ValueError("the box must be at least three linking lengths wide")
-    scratch = Scratch(df.sparkSession, "clusters")
-    at = wrapped(df, box).withColumn("cell", _cell(n, box))
-    active = scratch.keep(occupied(at, n, least, scratch))
-    points = scratch.keep(at.join(active, "cell", "left_semi").distinct())
-    cells = scratch.keep(_boxes(points, "cell"))
-    edges = scratch.keep(_linked(points, cells, n, box, link, scratch))
-    labels = connected_components(edges, scratch)
-    placed = cells.select("cell", "n").join(labels.withColumnRenamed("id", "cell"), "cell", "left").withColumn("label", F.coalesce("label", "cell"))
-    placed = scratch.keep(placed)
-    big = placed.groupBy("label").agg(F.sum("n").alias("total")).where(F.col("total") >= least).select("label")
-    kept = scratch.keep(placed.join(big, "label").select("label", "cell", "n"))
-    rows = scratch.keep(lookup(points, kept.select("cell", "label"), "cell", how="inner"))
-    sizes = rows.select("label", "id").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("cluster_id"))
-    named = scratch.keep(sizes.where(F.col("size") >= least))
-    members = lookup(rows, named, "label", how="inner").select("cluster_id", "id", "cell", *AXES)
-    return members, kept.join(named, "label").select("cluster_id", "cell", "n", "size")
-
 
 def members(df: DataFrame, link: float = 0.2, box: float = 1000.0, least: int = 20) -> DataFrame:
-    """(cluster_id, id), one row for each id of each cluster."""
-    return grid_clusters(df, link, box, least)[0].select("cluster_id", "id").distinct()
+    """(cluster_id, id), one row for each id of each cluster of at least ``least`` distinct ids; cluster_id is the smallest.
+    The box is periodic and at least 3 links wide."""
+    scratch = Scratch(df.sparkSession, "clusters")
+    once, named = groups(*linked(df, link, box, scratch), least, scratch)
+    return once.join(named, "label").select(F.col("first").alias("cluster_id"), "id")
 
 
 def describe(df: DataFrame, link: float = 0.2, box: float = 1000.0, least: int = 20, typical: int = 5) -> DataFrame:
     """(cluster_id, size, n_cells, densest_n, place, id): the ``typical`` members of each cluster's densest
     cell, nearest to the cell's centre of gravity first, ties by id; of equally dense cells the first."""
-    rows, cells = grid_clusters(df, link, box, least)
+    scratch = Scratch(df.sparkSession, "clusters")
+    points, labels = linked(df, link, box, scratch)
+    _, named = groups(points, labels, least, scratch)
+    placed = points.join(labels, "cell", "left").withColumn("label", F.coalesce("label", "cell"))
+    rows = scratch.keep(placed.distinct().join(named, "label").select(F.col("first").alias("cluster_id"), "size", "id", "cell", *AXES))
+    cells = rows.groupBy("cluster_id", "size", "cell").agg(F.count(F.lit(1)).alias("n"), *[F.avg(a).alias(f"c{a}") for a in AXES])
     dense = cells.groupBy("cluster_id").agg(
-        F.max("size").alias("size"), F.count(F.lit(1)).alias("n_cells"), F.max(F.struct("n", (-F.col("cell")).alias("c"))).alias("b")
+        F.max("size").alias("size"), F.count(F.lit(1)).alias("n_cells"), F.max(F.struct("n", (-F.col("cell")).alias("c"), *[f"c{a}" for a in AXES])).alias("b")
     )
-    dense = dense.select("cluster_id", "size", "n_cells", F.col("b.n").alias("densest_n"), (-F.col("b.c")).alias("cell"))
-    inside = rows.join(dense, ["cluster_id", "cell"])
-    centre = inside.groupBy("cluster_id").agg(*[F.avg(a).alias(f"c{a}") for a in AXES])
+    dense = dense.select("cluster_id", "size", "n_cells", F.col("b.n").alias("densest_n"), (-F.col("b.c")).alias("cell"), *[f"b.c{a}" for a in AXES])
+    inside = rows.drop("size").join(dense, ["cluster_id", "cell"])
     d2 = sum(((F.col(a) - F.col(f"c{a}")) * (F.col(a) - F.col(f"c{a}")) for a in AXES), F.lit(0.0))
     w = Window.partitionBy("cluster_id").orderBy(F.round(d2, 12), "id")
-    ranked = inside.join(centre, "cluster_id").withColumn("d2", d2).withColumn("place", F.row_number().over(w)).where(F.col("place") <= typical)
+    ranked = inside.withColumn("d2", d2).withColumn("place", F.row_number().over(w)).where(F.col("place") <= typical)
     return ranked.select("cluster_id", "size", "n_cells", "densest_n", "place", "id")

@@ -41,6 +41,7 @@ GAIN = 0.02  # by so much a longer rule must be surer than each shorter one
 SURE = 1.0 - GAIN  # no rule can be surer than this by GAIN, so growth ends there and loses nothing
 COVER = 0.5  # a text has content in at least this part of its words
 SPLIT = 1 << 21  # occurrences grown at once
+SLICE = 1 << 22
 DENSE = 1 << 24  # places of a rule table that is looked up by place, not by search
 
 _ODD = re.compile(r"[ÂÃâ][\x80-\xff€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]{1,2}")
@@ -307,6 +308,15 @@ def _targets(hits: np.ndarray, text: np.ndarray) -> np.ndarray:
     return (hits / np.maximum(hits.sum(1, keepdims=True), 1))[text]
 
 
+def _slices(batches):
+    """The same rows in batches of about SLICE bytes of text, so memory follows neither row counts nor lengths."""
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy())
+        cuts = np.flatnonzero(np.diff(size // SLICE, prepend=0))
+        for lo, hi in itertools.pairwise([0, *cuts[cuts > 0].tolist(), b.num_rows]):
+            yield b.slice(lo, hi - lo)
+
+
 def _labelled(batch: pa.RecordBatch, subjects: list[str]) -> np.ndarray:
     return np.array([[s in ls for s in subjects] for ls in batch.column("labels").to_pylist()], float).reshape(batch.num_rows, len(subjects))
 
@@ -337,7 +347,7 @@ def mine(docs: DataFrame, subjects: list[str], first: Model | None, scratch: Scr
     model = spark.sparkContext.broadcast(first)
 
     def count(batches):
-        for b in batches:
+        for b in _slices(batches):
             s, target = _passes(b, subjects, model.value)
             code = s.words.dictionary_encode()
             sets = bags(s.sentence, code.indices.to_numpy().astype(np.int64), len(s.length))
@@ -362,7 +372,7 @@ def mine(docs: DataFrame, subjects: list[str], first: Model | None, scratch: Scr
 
     def project(batches):
         vocabulary = pa.array(shared.value[0], pa.string())
-        for b in batches:
+        for b in _slices(batches):
             s, target = _passes(b, subjects, model.value)
             at = pc.fill_null(pc.index_in(s.words, vocabulary), -1).to_numpy().astype(np.int64)
             sets = bags(s.sentence, at, len(s.length))
@@ -406,7 +416,7 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: list[str]) -> Model:
     shared = spark.sparkContext.broadcast(second)
 
     def measure(batches):
-        for b in batches:
+        for b in _slices(batches):
             share, hits = shared.value.read(b.column("text")), _labelled(b, subjects)
             pc_ = np.minimum(np.floor(share * 100), 99).astype(np.int32).ravel()
             n, hit = np.bincount(pc_, minlength=100), np.bincount(pc_, hits.ravel(), 100)
@@ -448,7 +458,7 @@ def subjects_of(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         m = shared.value
         names = pa.array(m.classes, pa.string())
-        for b in batches:
+        for b in _slices(batches):
             share = m.read(b.column("text"))
             i, k = np.nonzero(share >= m.share)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(i)), names.take(pa.array(k)), pa.array(share[i, k])], ["doc_id", "subject", "share"])

@@ -4,6 +4,7 @@ import random
 import pytest
 
 from starloom.llm import clusters
+from starloom.operators import friends
 
 SCHEMA = "id long, x double, y double, z double, cell string, label int"
 
@@ -42,7 +43,7 @@ def run(spark, rows, **kw):
 
 @pytest.mark.parametrize("pairs", [4096, 2])
 def test_clumps_borders_dirt_and_repeats(spark, monkeypatch, pairs):
-    monkeypatch.setattr(clusters, "PAIRS", pairs)  # 2: almost every undecided pair of cells is quantised further
+    monkeypatch.setattr(friends, "PAIRS", pairs)  # 2: almost every undecided pair of cells is quantised further
     rnd = random.Random(pairs)
     box, link, least = 10.0, 0.4, 8
     rows = clump(rnd, (0.0, 0.0, 9.95), 40, 0.25, 100, box) + clump(rnd, (5, 5, 5), 40, 0.3, 200, box) + clump(rnd, (5.9, 5, 5), 30, 0.2, 300, box)
@@ -57,7 +58,7 @@ def test_clumps_borders_dirt_and_repeats(spark, monkeypatch, pairs):
 
 
 def test_one_place_holds_most_rows(spark, monkeypatch):
-    monkeypatch.setattr(clusters, "PAIRS", 64)
+    monkeypatch.setattr(friends, "PAIRS", 64)
     rows = [(i, 5.0, 5.0, 5.0) for i in range(400)] + [(1000 + i, 5.0 + 0.39, 5.0, 5.0) for i in range(300)] + [(2000 + i, 5.0 + 0.81, 5.0, 5.0) for i in range(20)]
     got = run(spark, rows, link=0.4, box=10.0, least=20)
     assert got == {(0, i) for i, *_ in rows if i < 2000} | {(2000, 2000 + i) for i in range(20)}
