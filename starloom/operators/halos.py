@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starloom.functions.vectors import min_image
+from starloom.operators.friends import groups, linked
 from starloom.operators.graph import connected_components
 from starloom.operators.skew import lookup
 from starloom.operators.spatial import neighbour_pairs
@@ -19,15 +20,21 @@ from starloom.runtime import Scratch
 def fof_members(df: DataFrame, link: float, box: float, least: int) -> DataFrame:
     """(halo_id, id) of connected sets of at least ``least`` records; halo_id is the smallest id.
 
-    True connected components (quirk Q2 is not reproduced).
+    True connected components (quirk Q2 is not reproduced). Cells of a clump are connected as cells, so no pair of
+    records within a cell becomes a row; only boxes under seven linking lengths wide take the pairs themselves.
     """
     scratch = Scratch(df.sparkSession, "fof")
-    pairs = scratch.keep(neighbour_pairs(df, link, box).select(F.col("id1").alias("u"), F.col("id2").alias("v")))
-    labels = connected_components(pairs, scratch).select(F.col("label").alias("halo_id"), "id")
+    if box < 7 * link:
+        pairs = neighbour_pairs(df, link, box).select(F.col("id1").alias("u"), F.col("id2").alias("v"))
+        alone = df.select(F.col("id").alias("u"), F.col("id").alias("v"))
+        labels = connected_components(pairs.unionByName(alone), scratch).select("label", "id")
+        named = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first")).where(F.col("size") >= least)
+        return labels.join(named, "label").select(F.col("first").alias("halo_id"), "id")
+    once, named = groups(*linked(df.select("id", "x", "y", "z"), link, box, scratch), max(2, least), scratch)
+    found = once.join(named, "label").select(F.col("first").alias("halo_id"), "id")
     if least <= 1:
-        return df.select("id").join(labels, "id", "left").select(F.coalesce("halo_id", "id").alias("halo_id"), "id")
-    big = labels.groupBy("halo_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("halo_id")
-    return lookup(labels, big, "halo_id", how="inner").select("halo_id", "id")
+        return df.select("id").join(found, "id", "left").select(F.coalesce("halo_id", "id").alias("halo_id"), "id")
+    return found
 
 
 def properties(members: DataFrame, particles: DataFrame, box: float | None = None) -> DataFrame:

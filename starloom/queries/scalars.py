@@ -59,7 +59,7 @@ def min_image(s, d):
 
 def wrap_box(s, d):
     df = table(s, d, "particles")
-    return df.select("id", *[ve.wrap(F.col(a), L).alias(a) for a in "xyz"])
+    return df.select("id", *[ve.wrap(F.when(~F.isnan(a), F.col(a)), L).alias(a) for a in "xyz"])
 
 
 def cosmo_distances(s, d):
@@ -140,10 +140,15 @@ QUERIES = {
     "window_kernels": lambda s, d: values(s, "k", [0.0, 0.1, 0.5, 1.0]).select("k", *[F.round(th.grid_window(F.col("k"), 2.0, o), 9).alias(n) for o, n in ((1, "ngp"), (2, "cic"), (3, "tsc"))]),
 }
 
+_ERF = "1.0"
+for _i in range(th.TERMS, 0, -1):
+    _ERF = f"(1 + 2 * e * e / {2 * _i + 1} * {_ERF})"
+_ERF = f"(2 / sqrt(pi()) * e * exp(-e * e) * {_ERF})"
+
 SQL = {
     "vec_ops": f"WITH {PARTICLES_SQL} SELECT id, x * vx + y * vy + z * vz AS dot, round(sqrt(vx * vx + vy * vy + vz * vz), 9) AS speed, y * vz - z * vy AS lx, z * vx - x * vz AS ly, x * vy - y * vx AS lz FROM p",
     "min_image": f"WITH {PARTICLES_SQL} SELECT id, " + ", ".join(f"CASE WHEN 2 * (500 - {a}) > 500 THEN 2 * (500 - {a}) - 1000 WHEN 2 * (500 - {a}) < -500 THEN 2 * (500 - {a}) + 1000 ELSE 2 * (500 - {a}) END AS d{a}" for a in "xyz") + " FROM p",
-    "wrap_box": "SELECT id, " + ", ".join(f"CASE WHEN isnan({a}) THEN {a} ELSE {a} - 1000.0::DOUBLE * floor({a} / 1000.0::DOUBLE) END AS {a}" for a in "xyz") + " FROM particles",
+    "wrap_box": "SELECT id, " + ", ".join(f"CASE WHEN NOT isnan({a}) THEN {a} - 1000.0::DOUBLE * floor({a} / 1000.0::DOUBLE) END AS {a}" for a in "xyz") + " FROM particles",
     "cosmo_hubble": f"WITH {NODES_Z} SELECT halo_id, round({H0} * sqrt({E2}), 6) AS h FROM n",
     "cosmo_adot": f"WITH {NODES_Z} SELECT halo_id, round(a * ({H0} * sqrt({E2})), 6) AS adot FROM n",
     "cosmo_addot": f"WITH {NODES_Z}, c AS (SELECT 3.0::DOUBLE * pow({H0}, 2) / (8 * pi() * 4.3009e-9) AS crit) SELECT halo_id, round(-4 * pi() * 4.3009e-9 / 3 * a * (0.31::DOUBLE * crit / (a * a * a) - 2 * 0.69::DOUBLE * crit), 4) AS addot FROM n, c",
@@ -164,5 +169,7 @@ FROM (SELECT a, (i + 0.5) * a / 1000 AS u FROM {_values_sql('a', [0.25, 0.5, 1.0
     "theory_bbks": f"SELECT k, round({_BB}, 10) AS transfer FROM (SELECT k, k / (0.31::DOUBLE * 0.67) AS q FROM {_values_sql('k', K5)})",
     "theory_hmf": f"""WITH {HALOS_SQL}, s AS (SELECT id, pow(mass, -0.25) * 2 AS s FROM p), n AS (SELECT id, s, 1.686 / s AS nu, 0.707 * 1.686 * 1.686 / (s * s) AS n2 FROM s)
 SELECT id, round(sqrt(2 / pi()) * nu * exp(-nu * nu / 2), 8) AS ps, round(0.3222 * sqrt(2 * 0.707 / pi()) * (1 + pow(n2, -0.3)) * nu * exp(-n2 / 2), 8) AS st, round(1 + (nu * nu - 1) / 1.686, 8) AS bias FROM n""",
+    "theory_hod": f"""WITH {HALOS_SQL}, m AS (SELECT id, log10(mass * 1e12::DOUBLE) AS lm FROM p), e AS (SELECT *, least(abs((lm - 12) / 0.3::DOUBLE), 6) AS e, CASE WHEN lm < 12 THEN -1 ELSE 1 END AS s FROM m)
+SELECT id, round((1 + s * {_ERF}) / 2, 9) AS centrals, round(CASE WHEN pow(10.0::DOUBLE, lm) > 1e12 THEN (pow(10.0::DOUBLE, lm) - 1e12) / 1e13 ELSE 0 END, 9) AS satellites FROM e""",
     "window_kernels": f"SELECT k, round(s, 9) AS ngp, round(s * s, 9) AS cic, round(s * s * s, 9) AS tsc FROM (SELECT k, CASE WHEN k < 1e-6 THEN 1 ELSE sin(k) / k END AS s FROM {_values_sql('k', [0, 0.1, 0.5, 1])})",
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from starloom.particles import HALOS_SQL, L, halo_bodies
 from starloom.plans.methods import choose
 from starloom.runtime import Scratch
-from starloom.sources.generators import random_particles
+from starloom.sources.generators import PRIME, random_particles
 from starloom.sources.snapshots import FORMATS, export_snapshot, import_snapshot
 
 CASES = [(500, False, False), (5000, True, False), (5000, False, True), (200000, True, True), (200000, False, False), (1000, False, False), (100000, True, False)]
@@ -31,11 +31,23 @@ def method_select(s, d):
 
 
 QUERIES = {
-    "src_random": lambda s, d: random_particles(s, 10000, 100.0, 12345),
+    "src_random": lambda s, d: random_particles(s, 10000, 100.0, 12345).select("id", *[F.round(c, 8).alias(c) for c in ("x", "y", "z", "vx", "vy", "vz")], "mass"),
     "io_roundtrip": io_roundtrip,
     "method_select": method_select,
 }
+
+
+def _uniform(component: int) -> str:
+    h = f"((i * 48271 + {(12346 * 69621 + component * 40692) % PRIME}) % {PRIME})"
+    for step in (3, 7, 11):
+        h = f"(SELECT (h * h % {PRIME} * {step} + h * 16807 + {component}) % {PRIME} AS h FROM (SELECT {h} AS h))"
+    return f"(({h} + 0.5::DOUBLE) / {PRIME}.0::DOUBLE)"
+
+
 SQL = {
+    "src_random": "SELECT i AS id, "
+    + ", ".join(f"round({_uniform(c)} * 100, 8) AS {a}, round(sqrt(-2 * ln({_uniform(10 + 2 * c)})) * cos(2 * pi() * {_uniform(11 + 2 * c)}) * 100, 8) AS v{a}" for c, a in enumerate("xyz"))
+    + ", 1.0::DOUBLE AS mass FROM range(10000) t(i)",
     "io_roundtrip": f"WITH {HALOS_SQL} SELECT id, x, y, z, mass, CAST(4 AS BIGINT) AS copies FROM p",
     "method_select": "SELECT n, gpu, compiled, CASE WHEN n < 1000 THEN 'DIRECT' WHEN n < 100000 THEN CASE WHEN gpu THEN 'TREE' ELSE 'DIRECT' END WHEN compiled THEN 'TENSORRT' ELSE 'TREE' END AS method FROM (VALUES "
     + ", ".join(f"(CAST({n} AS BIGINT), {g}, {c})" for n, g, c in CASES)
