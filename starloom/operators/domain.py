@@ -82,22 +82,58 @@ def morton_cells(df: DataFrame, box: float, n: int = 32) -> DataFrame:
     return cells.select(F.row_number().over(Window.orderBy("code")).alias("place"), "code", "n")
 
 
-def greedy(df: DataFrame, box: float, parts: int, n: int = 8) -> DataFrame:
-    """(part, load, cells): Morton-ordered cells dealt out in turn, moving on when a cell would exceed the mean.
-
-    A sequential fold over n**3 cell counts, a bounded array whatever the number of records.
-    """
+def deal(codes: list[int], counts: list[int], parts: int, cells: int) -> list[int]:
+    """The first cell of each part, when cells are dealt out in order and a cell that would bring a part above the mean
+    begins the next one. Cells that aren't listed are empty; one after a part above the mean begins the next as well."""
+    target, begins, load, last = sum(counts) // parts, [0], 0, -1
+
+    def move(at: int) -> bool:
+        if len(begins) < parts:
+            begins.append(at)
+            return True
+        return False
+
+    for code, n in [*zip(codes, counts), (cells, 0)]:
+        if load > target and code > last + 1 and move(last + 1):
+            load = 0
+        if code < cells:
+            load = n if load + n > target and move(code) else load + n
+        last = code
+    return begins
+
+
+def _dealt(df: DataFrame, box: float, parts: int, n: int) -> tuple[DataFrame, DataFrame]:
+    """(code, part) of all n**3 cells, dealt out greedily in Morton order, and (code, n) of the occupied ones. The driver
+    deals out cell counts, at most n**3 whatever the number of records, and keeps where each part begins."""
+    spark = df.sparkSession
     codes = density(df, box, n).select(morton(*[F.col(f"i{a}").cast("long") for a in "xyz"], x_first=False).alias("code"), "n")
-    whole = df.sparkSession.range(n**3).select(F.col("id").alias("code")).join(codes, "code", "left").select("code", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-    row = whole.agg(F.transform(F.array_sort(F.collect_list(F.struct("code", "n"))), lambda c: c["n"]).alias("ns"), F.sum("n").alias("total"))
-    target = F.floor(F.col("total") / parts)
-    start = F.struct(F.lit(0).alias("part"), F.lit(0).cast("long").alias("load"), F.array().cast("array<int>").alias("where"))
-
-    def step(s: Column, c: Column) -> Column:
-        on = (s["part"] < parts - 1) & (s["load"] + c > target)
-        part = F.when(on, s["part"] + 1).otherwise(s["part"])
-        return F.struct(part.alias("part"), F.when(on, c).otherwise(s["load"] + c).alias("load"), F.concat(s["where"], F.array(part)).alias("where"))
-
-    dealt = row.select("ns", F.aggregate("ns", start, step)["where"].alias("where"))
-    each = dealt.select(F.explode(F.arrays_zip("where", "ns")).alias("c"))
-    return each.groupBy(F.col("c.where").alias("part")).agg(F.sum("c.ns").alias("load"), F.count(F.lit(1)).alias("cells"))
+    seen = codes.toPandas().sort_values("code")
+    begins = deal(seen["code"].tolist(), seen["n"].tolist(), parts, n**3)
+    first = spark.createDataFrame(list({code: part for part, code in enumerate(begins)}.items()), "code bigint, part int")
+    counts = spark.createDataFrame(seen, "code bigint, n bigint")
+    whole = spark.range(n**3).select(F.col("id").alias("code")).join(F.broadcast(first), "code", "left")
+    return whole.select("code", F.max("part").over(Window.orderBy("code")).alias("part")), counts
+
+
+def greedy(df: DataFrame, box: float, parts: int, n: int = 32) -> DataFrame:
+    """(part, load, cells, xmin, xmax, ymin, ymax, zmin, zmax): Morton-ordered cells dealt out in turn, moving on when a cell
+    would exceed the mean, and the box around each part's cells. Parts without cells have no row; an empty table
+    gives the uniform blocks, with load and cells 0. The windows hold n**3 cells, however many records there are."""
+    side = box / n
+    if not df.limit(1).count():
+        even = bounds(df.sparkSession, block_dims(parts), box)
+        return even.select(F.col("dom").alias("part"), F.lit(0).cast("long").alias("load"), F.lit(0).cast("long").alias("cells"), *[f"{a}{e}" for a in "xyz" for e in ("min", "max")])
+    dealt, codes = _dealt(df, box, parts, n)
+    bits = range((n - 1).bit_length())
+    along = [sum((F.shiftleft(F.shiftright("code", 3 * b + o).bitwiseAND(F.lit(1).cast("long")), b) for b in bits), F.lit(0).cast("long")) for o in range(3)]
+    placed = dealt.join(codes, "code", "left").select("part", "n", *[i.alias(f"i{a}") for i, a in zip(along, "xyz")])
+    sides = [e for a in "xyz" for e in ((F.min(f"i{a}") * side).alias(f"{a}min"), ((F.max(f"i{a}") + 1) * side).alias(f"{a}max"))]
+    return placed.groupBy("part").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("load"), F.count(F.lit(1)).alias("cells"), *sides)
+
+
+def rebalanced(df: DataFrame, box: float, parts: int, n: int = 32) -> DataFrame:
+    """The records with their ``owner`` among greedily dealt parts, partitioned by it; up to 32**3 cells are broadcast."""
+    dealt, _ = _dealt(df, box, parts, n)
+    dealt = dealt.withColumnRenamed("part", "owner")
+    code = morton(*[lattice(F.col(a), box, n) for a in "xyz"], x_first=False)
+    return df.withColumn("code", code).join(F.broadcast(dealt) if n <= 32 else dealt, "code").drop("code").repartition("owner")

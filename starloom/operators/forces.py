@@ -16,6 +16,7 @@ from starloom.runtime import Scratch
 
 TILE = 4096  # rows of a block; a pair of blocks is evaluated in slices of at most SLICE pairs
 SLICE = 1 << 20
+MESH = 32**3  # cells of a field that is broadcast
 OUT = "id bigint, ax double, ay double, az double, phi double"
 
 
@@ -272,6 +273,27 @@ def tree_stats(nodes: DataFrame) -> DataFrame:
     )
 
 
+def efficiency(walked: DataFrame) -> DataFrame:
+    """(bodies, terms, efficiency) of a tree walk: the part of all pairs that it evaluated."""
+    out = walked.agg(F.count(F.lit(1)).alias("bodies"), F.coalesce(F.sum("terms"), F.lit(0)).alias("terms"))
+    return out.withColumn("efficiency", F.when(F.col("bodies") > 0, F.col("terms") / (F.col("bodies").cast("double") * F.col("bodies"))).otherwise(0.0))
+
+
+def validate(forces: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(n, unusable, missing, net): records with accelerations, null or NaN ones, bodies without any, and the size of the sum
+    of mass times acceleration over the sum of their sizes, which is 0 for exact pair forces."""
+    f = [F.col("mass") * F.col(f"a{x}") for x in "xyz"]
+    bad = F.lit(False)
+    for x in "xyz":
+        bad = bad | F.col(f"a{x}").isNull() | F.isnan(f"a{x}")
+    both = bodies.select("id", "mass").join(forces.select("id", "ax", "ay", "az", F.lit(True).alias("there")), "id", "left")
+    size = F.sqrt(f[0] * f[0] + f[1] * f[1] + f[2] * f[2])
+    net = F.sqrt(sum((F.sum(q) * F.sum(q) for q in f[1:]), F.sum(f[0]) * F.sum(f[0])))
+    return both.agg(
+        F.count("there").alias("n"), F.count_if(F.col("there") & bad).alias("unusable"), F.count_if(F.col("there").isNull()).alias("missing"), F.coalesce(net / F.when(F.sum(size) > 0, F.sum(size)), F.lit(0.0)).alias("net")
+    )
+
+
 def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     """(n, mean_error, max_error, correlation) of accelerations a against b."""
     other = b.select("id", *[F.col(f"a{x}").alias(f"b{x}") for x in "xyz"])
@@ -285,23 +307,24 @@ def compare(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def mesh_force(bodies: DataFrame, n: int, box: float) -> DataFrame:
     """(id, ax, ay, az) by particle-mesh: cloud-in-cell density, Poisson's equation per mode, and the gradient
-    read back with the same eight weights. The grid has n**3 rows, whatever the number of records, so it is
-    broadcast (n at most 32)."""
-    if n > 32:
-        raise ValueError("a broadcast mesh is limited to 32 cells a side")
+    read back with the same eight weights. Two of the three real components share one complex transform.
+
+    The field has n**3 rows whatever the number of records: up to MESH it is broadcast, beyond it is joined by cell.
+    """
     scratch = Scratch(bodies.sparkSession, "mesh")
     delta = gr.contrast(gr.assign_cic(bodies, n, box), n)
     mean = float(bodies.agg(F.sum("mass")).first()[0] or 0.0) / box**3
     modes = scratch.keep(gr.transform(delta.select("ix", "iy", "iz", (F.col("delta") * mean).alias("re"), F.lit(0.0).alias("im")), n))
     k = [gr.mode(F.col(f"i{a}"), n) * (2.0 * math.pi / box) for a in "xyz"]
     k2 = k[0] * k[0] + k[1] * k[1] + k[2] * k[2]
-    field = None
-    for q, a in zip(k, "xyz"):
-        g = F.when(k2 > 0, 4.0 * math.pi * q / k2).otherwise(0.0)  # a = -grad phi, phi_k = -4 pi rho_k / k^2
-        one = gr.transform(modes.select("ix", "iy", "iz", (-g * F.col("im")).alias("re"), (g * F.col("re")).alias("im")), n, inverse=True)
-        one = one.select("ix", "iy", "iz", F.col("re").alias(f"g{a}"))
-        field = one if field is None else field.join(one, ["ix", "iy", "iz"])
-    field = F.broadcast(scratch.keep(field))
+    # a = -grad phi, phi_k = -4 pi rho_k / k^2; the gradient along an axis has no part in its highest wave number
+    g = [F.when((k2 > 0) & (2 * F.col(f"i{a}") != n), 4.0 * math.pi * q / k2).otherwise(0.0) for q, a in zip(k, "xyz")]
+    re, im = F.col("re"), F.col("im")
+    xy = gr.transform(modes.select("ix", "iy", "iz", (-g[0] * im - g[1] * re).alias("re"), (g[0] * re - g[1] * im).alias("im")), n, inverse=True)
+    z = gr.transform(modes.select("ix", "iy", "iz", (-g[2] * im).alias("re"), (g[2] * re).alias("im")), n, inverse=True)
+    field = xy.withColumnsRenamed({"re": "gx", "im": "gy"}).join(z.select("ix", "iy", "iz", F.col("re").alias("gz")), ["ix", "iy", "iz"])
+    field = scratch.keep(field)
+    field = F.broadcast(field) if n**3 <= MESH else field
     low = bodies.select("id", *[F.pmod(F.col(a) * (n / box), F.lit(float(n))).alias(f"u{a}") for a in "xyz"])
     shares = []
     for o in ((i, j, m) for i in (0, 1) for j in (0, 1) for m in (0, 1)):

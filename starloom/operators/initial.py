@@ -7,14 +7,17 @@ Q12); ``mode='physical'`` transforms back. Noise is a hash of the mode, so it is
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.functions.cosmology import Cosmology, bbks
-from starloom.functions.vectors import wrap
+from starloom.functions.vectors import min_image, wrap
 from starloom.operators.grid import cells, centre, mode, transform
+from starloom.runtime import Scratch
+from starloom.sources.generators import uniform
 
 NOISE = 99991
 
@@ -28,6 +31,8 @@ class Start:
     k_max: float = 1e2
     points: int = 1000
     cosmo: Cosmology = field(default_factory=Cosmology)
+    #: Power of a wave number, before normalisation; None is the one of the transfer function.
+    power: Callable[[Column], Column] | None = None
 
     @property
     def step(self) -> float:
@@ -42,6 +47,8 @@ class Start:
 
 
 def raw_power(s: Start, k: Column) -> Column:
+    if s.power is not None:
+        return s.power(k)
     t = bbks(k / (s.cosmo.om * s.cosmo.h))
     return F.pow(k, F.lit(s.cosmo.ns)) * t * t
 
@@ -164,3 +171,52 @@ def subsample(grid: DataFrame, total: int, want: int) -> DataFrame:
     """Every (total // want)-th grid point, at most ``want``: the sampling operator, its limit is the feature."""
     skip = max(1, total // want)
     return grid.where((F.col("idx") % skip == 0) & (F.col("idx") < skip * want))
+
+
+def resampled(grid: DataFrame, total: int, want: int, seed: int = 0) -> DataFrame:
+    """(id, idx): ``want`` grid points, every (total // want)-th first; what is still missing is drawn by a hash."""
+    skip = max(1, total // want)
+    even = min(want, -(-total // skip))
+    i = F.col("id")
+    drawn = F.floor(uniform(i, seed, 77) * total).cast("long")
+    return grid.sparkSession.range(want).select("id", F.when(i < even, i * skip).otherwise(drawn).alias("idx"))
+
+
+def particles(spark: SparkSession, s: Start, want: int, order: int = 1, how: str = "reference", seed: int = 0) -> DataFrame:
+    """(id, x, y, z, vx, vy, vz, mass): ``want`` particles of mass 1 from the grid of a start, displaced to first or second
+    order, with the first-order velocities a H f times the displacement."""
+    scratch = Scratch(spark, "start")
+    d, rate, ah = s.growth()
+    m = scratch.keep(hermitian(gaussian(spark, s, norm(spark, s)), s.n))
+    psi = scratch.keep(displacement(m, s, d, how))
+    at = move(psi, s) if order == 1 else lpt2(m, s, how)
+    idx = (F.col("ix") * s.n + F.col("iy")) * s.n + F.col("iz")
+    v = psi.select(idx.alias("idx"), *[(F.col(f"p{a}") * (ah * rate)).alias(f"v{a}") for a in "xyz"])
+    points = resampled(at, s.n**3, want, seed).join(at, "idx").join(v, "idx")
+    return points.select("id", "x", "y", "z", "vx", "vy", "vz", F.lit(1.0).alias("mass"))
+
+
+def rms(bodies: DataFrame, s: Start) -> DataFrame:
+    """(n, rms_displacement, rms_velocity) of particles whose id is their grid point, against the grid."""
+    n = s.n
+    at = [F.expr(f"id div {n * n}"), F.expr(f"id div {n} % {n}"), F.expr(f"id % {n}")]
+    d = [min_image(F.col(a) - centre(i, n, s.box), s.box) for a, i in zip("xyz", at)]
+    v = [F.col(f"v{a}") for a in "xyz"]
+    square = lambda q: q[0] * q[0] + q[1] * q[1] + q[2] * q[2]
+    return bodies.agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(square(d))).alias("rms_displacement"), F.sqrt(F.avg(square(v))).alias("rms_velocity"))
+
+
+def compare_orders(first: DataFrame, second: DataFrame, box: float) -> DataFrame:
+    """(n, mean, largest): distances between the same particles displaced to first and to second order."""
+    other = second.select("id", *[F.col(a).alias(f"o{a}") for a in "xyz"])
+    d = [min_image(F.col(f"o{a}") - F.col(a), box) for a in "xyz"]
+    r = F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
+    return first.join(other, "id").agg(F.count(F.lit(1)).alias("n"), F.avg(r).alias("mean"), F.max(r).alias("largest"))
+
+
+def check_power(spark: SparkSession, s: Start) -> DataFrame:
+    """(points, positive, falling, sigma8): whether the tabulated power is positive, falls at its end, and its sigma8."""
+    f = norm(spark, s)
+    t = table(spark, s, f)
+    last = F.max(F.when(F.col("i") == s.points - 1, F.col("p"))) < F.max("p")
+    return t.agg(F.count(F.lit(1)).alias("points"), F.count_if(F.col("p") > 0).alias("positive"), last.alias("falling")).withColumn("sigma8", sigma8(s) * math.sqrt(f))
