@@ -104,39 +104,48 @@ def enclosed(centres: DataFrame, particles: DataFrame, radius: float, box: float
     return inside.groupBy("halo_id").agg(F.count(F.lit(1)).alias("n_in"), F.sum("mass").alias("m_in"))
 
 
+def _reachable(steps: int) -> np.ndarray:
+    """All factors that up to ``steps`` multiplications by 0.9 or 1.1 can make."""
+    return np.unique(np.array([0.9**i * 1.1**j for i in range(steps + 1) for j in range(steps + 1 - i)]))
+
+
 def so_radii(halos: DataFrame, particles: DataFrame, density: float, factor: float = 200.0, reach: float = 2.0, steps: int = 50) -> DataFrame:
     """(halo_id, r_so, m_so): radius at which the mean density within is ``factor`` times ``density``, by up to 50
     steps of 0.9 and 1.1, or to one percent, starting at r_vir.
 
+    Only r_vir times a known set of factors can be tried, so masses are first summed into the shells between
+    those radii, merged on the map side; the search then reads at most as many shells a halo as there are factors.
     Particles are joined within ``reach`` times r_vir. Halos whose search leaves that radius are searched again
     within the largest one that 50 steps can reach, so the bound costs nothing in exactness.
     """
-    target, widest = factor * density, 1.1**steps
+    target, widest, radii = factor * density, 1.1**steps, _reachable(steps)
+
+    @F.pandas_udf("int")
+    def shell(d: pd.Series, r0: pd.Series) -> pd.Series:  # a distance equal to a radius, but for rounding, is within it
+        return pd.Series(np.searchsorted(radii * (1 + 1e-12), d.to_numpy() / r0.to_numpy()).astype(np.int32))
 
     def search(some: DataFrame, bound: float) -> DataFrame:
         limit = F.greatest(F.col("r_vir") * bound, F.lit(1e-9))
-        cell = 1.0 if bound <= 2 else 25.0
-        near = enclosed_distances(some.select("halo_id", "comx", "comy", "comz", limit.alias("r")), particles, cell)
-        alone = some.select("halo_id", F.lit(float("inf")).alias("d"), F.lit(0.0).alias("mass"))
-        rows = near.unionByName(alone).join(some.select("halo_id", F.col("r_vir").alias("r0")), "halo_id")
+        near = enclosed_distances(some.select("halo_id", "comx", "comy", "comz", "r_vir", limit.alias("r")), particles)
+        sums = near.where("r_vir > 0").select("halo_id", shell("d", "r_vir").alias("shell"), "mass").groupBy("halo_id", "shell").agg(F.sum("mass").alias("mass"))
+        alone = some.select("halo_id", F.lit(len(radii)).alias("shell"), F.lit(0.0).alias("mass"))
+        rows = sums.unionByName(alone).join(some.select("halo_id", F.col("r_vir").alias("r0")), "halo_id")
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            order = np.argsort(pdf["d"].to_numpy(), kind="stable")
-            d, m = pdf["d"].to_numpy()[order], np.cumsum(pdf["mass"].to_numpy()[order])
+            m = np.cumsum(np.bincount(pdf["shell"], pdf["mass"], len(radii) + 1))
             r0 = float(pdf["r0"].iloc[0])
 
-            def within(x):
-                i = np.searchsorted(d, x, side="right")
-                return float(m[i - 1]) if i else 0.0
+            def within(x: float) -> float:
+                return float(m[min(np.searchsorted(radii, x * (1 - 1e-9)), len(radii))])
 
-            r, most = r0, r0
-            for _ in range(steps):
-                rho = within(r) / (4.0 / 3.0 * math.pi * r**3)
+            f = most = 1.0
+            for _ in range(steps if r0 > 0 else 0):
+                rho = within(f) / (4.0 / 3.0 * math.pi * (r0 * f) ** 3)
                 if abs(rho - target) / target < 0.01:
                     break
-                r *= 0.9 if rho > target else 1.1
-                most = max(most, r)
-            return pd.DataFrame({"halo_id": [int(pdf["halo_id"].iloc[0])], "r_so": [r], "m_so": [within(r)], "left": [bool(most > r0 * bound)]})
+                f *= 0.9 if rho > target else 1.1
+                most = max(most, f)
+            return pd.DataFrame({"halo_id": [int(pdf["halo_id"].iloc[0])], "r_so": [r0 * f], "m_so": [within(f) if r0 > 0 else 0.0], "left": [bool(most > bound)]})
 
         return rows.groupBy("halo_id").applyInPandas(run, "halo_id bigint, r_so double, m_so double, left boolean")
 
@@ -146,18 +155,25 @@ def so_radii(halos: DataFrame, particles: DataFrame, density: float, factor: flo
     return first.where("not left").unionByName(search(again, widest)).drop("left")
 
 
-def enclosed_distances(centres: DataFrame, particles: DataFrame, reach: float = 1.0) -> DataFrame:
-    """(halo_id, d, mass) of the particles within each centre's own radius r; cells of side ``reach``, centres
-    going to every cell their radius touches."""
-    lo = [F.floor((F.col(f"com{a}") - F.col("r")) / reach).cast("long") for a in "xyz"]
-    hi = [F.floor((F.col(f"com{a}") + F.col("r")) / reach).cast("long") for a in "xyz"]
-    c = centres
-    for a, p, q in zip("xyz", lo, hi):
-        c = c.withColumn(f"k{a}", F.explode(F.sequence(p, q)))
-    pts = particles.select("x", "y", "z", "mass", *[F.floor(F.col(a) / reach).cast("long").alias(f"k{a}") for a in "xyz"])
+def enclosed_distances(centres: DataFrame, particles: DataFrame) -> DataFrame:
+    """(halo_id, d, mass, and the other columns of the centres but their place) of the particles within each centre's own
+    radius r. Radii are rounded up to powers of two, and a centre meets the particles in cells of that side: at
+    most 27 cells whatever its radius. Particles have one copy for each power that occurs, of which there are few."""
+    power = F.ceil(F.log2("r")).cast("int")
+    leveled = centres.withColumn("k", power)
+    powers = [r[0] for r in leveled.select("k").distinct().collect()]
+    if not powers:
+        powers = [0]
+    side = F.pow(F.lit(2.0), F.col("k").cast("double"))
+    c = leveled
+    for a in "xyz":
+        c = c.withColumn(f"k{a}", F.explode(F.sequence(*[F.floor((F.col(f"com{a}") + s * F.col("r")) / side).cast("long") for s in (-1, 1)])))
+    pts = particles.select("x", "y", "z", "mass", F.explode(F.array(*[F.lit(p) for p in powers])).alias("k"))
+    pts = pts.select("*", *[F.floor(F.col(a) / side).cast("long").alias(f"k{a}") for a in "xyz"])
     d = [F.col(a) - F.col(f"com{a}") for a in "xyz"]
-    both = c.join(pts, ["kx", "ky", "kz"]).withColumn("d", F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]))
-    return both.where(F.col("d") <= F.col("r")).select("halo_id", "d", "mass")
+    both = c.join(pts, ["k", "kx", "ky", "kz"]).withColumn("d", F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]))
+    rest = [x for x in centres.columns if x not in ("comx", "comy", "comz", "r")]
+    return both.where(F.col("d") <= F.col("r")).select(*rest, "d", "mass")
 
 
 def nfw_fit(members: DataFrame, particles: DataFrame, centres: DataFrame, box: float | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starloom.operators.skew import lookup, prefix_sums
-from starloom.runtime import Scratch
+from starloom.runtime import Scratch, parallelism
 
 
 def links(nodes: DataFrame, node: str = "halo_id", parent: str = "descendant_id", children: str = "progenitor_ids") -> DataFrame:
@@ -53,39 +53,32 @@ def upward(edges: DataFrame, scratch: Scratch) -> Upward:
             "id", F.when(F.col("inside"), F.col("parent")).alias("parent"), F.when(F.col("inside").isNull(), F.col("parent")).alias("outside")
         )
     )
-    active = scratch.keep(nodes.where("parent is not null").select("id", F.col("parent").alias("jump"), F.lit(1).cast("long").alias("size")))
-    n, jumps, counts, adds = active.count(), [], [], []
+    active, n = scratch.keep_counted(nodes.where("parent is not null").select("id", F.col("parent").alias("jump"), F.lit(1).cast("long").alias("size")))
+    jumps, counts, adds = [], [], []
     while n:
         add = scratch.keep(active.groupBy(F.col("jump").alias("id")).agg(F.expr("try_sum(size)").alias("more")))
         jumps.append(active)
         counts.append(n)
         adds.append(add)
-        further = active.select(F.col("id").alias("jump"), F.col("jump").alias("next"))
-        step = lookup(active.drop("size"), further, "jump", n, "inner").select("id", F.col("next").alias("jump"))
-        grown = active.select("id", "size").join(add, "id", "left").select("id", F.expr("try_add(size, coalesce(more, 0))").alias("size"))
-        after = scratch.keep(step.join(grown, "id"))
-        m = after.count()
+        # the node jumped to brings its own jump; a popular one makes a skewed join, which adaptive execution splits
+        ahead = active.select(F.col("id").alias("jump"), F.col("jump").alias("next"))
+        step = active.join(ahead, "jump").select("id", "size", F.col("next").alias("jump"))
+        after, m = scratch.keep_counted(step.join(add, "id", "left").select("id", "jump", F.expr("try_add(size, coalesce(more, 0))").alias("size")))
         if m == n:  # nobody between 2**k and 2**(k+1) below a root, so nobody deeper either
             return Upward(nodes, jumps[:-1], counts[:-1], adds[:-1], after.select("id", "jump"))
         active, n = after, m
     return Upward(nodes, jumps, counts, adds, None)
 
 
-def _compose(pairs: DataFrame, n: int) -> DataFrame:
-    return lookup(pairs, pairs.select(F.col("id").alias("jump"), F.col("jump").alias("next")), "jump", n, "inner").select("id", F.col("next").alias("jump"))
-
-
 def loops(up: Upward, scratch: Scratch) -> DataFrame:
     """(id, loop_id, on_loop) of every node whose chain never ends; loop_id is the smallest id on its loop."""
     if up.endless is None:
         return up.nodes.select("id", F.col("id").alias("loop_id"), F.lit(False).alias("on_loop")).limit(0)
-    far, n = scratch.keep(up.endless), up.endless.count()
-    image = scratch.keep(far.select("jump").distinct())
-    size = image.count()
+    far = scratch.keep(up.endless)
+    image, size = scratch.keep_counted(far.select("jump").distinct())
     while True:  # the image shrinks to the nodes on loops
-        after = scratch.keep(_compose(far, n))
-        image_after = scratch.keep(after.select("jump").distinct())
-        m = image_after.count()
+        after = scratch.keep(far.join(far.select(F.col("id").alias("jump"), F.col("jump").alias("next")), "jump").select("id", F.col("next").alias("jump")))
+        image_after, m = scratch.keep_counted(after.select("jump").distinct())
         if m == size:
             break
         far, image, size = after, image_after, m
@@ -94,14 +87,12 @@ def loops(up: Upward, scratch: Scratch) -> DataFrame:
     ring, changed = scratch.keep(ring), 1
     while changed:
         ahead = ring.select(F.col("id").alias("jump"), F.col("jump").alias("next"), F.col("least").alias("ahead"))
-        after = scratch.keep(
-            ring.join(ahead, "jump").select("id", F.col("next").alias("jump"), F.least("least", "ahead").alias("least"), (F.col("ahead") < F.col("least")).alias("lower"))
-        )
-        changed = after.where("lower").limit(1).count()
+        step = ring.join(ahead, "jump").select("id", F.col("next").alias("jump"), F.least("least", "ahead").alias("least"), (F.col("ahead") < F.col("least")).alias("lower"))
+        after, changed = scratch.keep_counted(step, F.col("lower"))
         scratch.drop(ring)
         ring = after.drop("lower")
     to = ring.select(F.col("id").alias("jump"), F.col("least").alias("loop_id"))
-    found = lookup(far, to, "jump", n, "inner").select("id", "loop_id")
+    found = far.join(to, "jump").select("id", "loop_id")
     return found.join(on.withColumn("on_loop", F.lit(True)), "id", "left").select("id", "loop_id", F.coalesce("on_loop", F.lit(False)).alias("on_loop"))
 
 
@@ -149,16 +140,27 @@ def nested_sets(up: Upward, scratch: Scratch) -> DataFrame:
     return sized.join(placed, "id").select("id", "parent", "outside", "root", "depth", "size", "lft", (F.col("lft") + F.col("size") - 1).alias("rgt"))
 
 
+def _cut(ranges: DataFrame, block: int, fan: int = 64) -> DataFrame:
+    """The ranges lft..rgt once for each ``block`` of numbers they touch. A long range is cut in steps, each into at most
+    ``fan`` pieces that are dealt out to all tasks, so no row and no task holds all of it."""
+    longest = ranges.agg(F.max(F.expr(f"rgt div {block} - a_lft div {block} + 1"))).first()[0] or 1
+    out, piece = ranges.withColumns({"lo": F.expr(f"a_lft div {block}"), "hi": F.expr(f"rgt div {block}")}), fan
+    while piece * fan < longest:
+        piece *= fan
+    while longest > fan and piece >= fan:
+        out = out.withColumn("i", F.explode(F.expr(f"sequence(0L, (hi - lo) div {piece})"))).withColumn("lo", F.col("lo") + F.col("i") * piece)
+        out = out.withColumn("hi", F.least("hi", F.col("lo") + (piece - 1))).drop("i").repartition(parallelism(ranges.sparkSession))
+        piece //= fan
+    return out.withColumn("block", F.explode(F.sequence("lo", "hi"))).drop("lo", "hi")
+
+
 def ancestor_pairs(sets: DataFrame, block: int = 64) -> DataFrame:
     """(ancestor, ancestor_depth, id): every node with every node above it, and with itself.
 
     A range join on nested sets, cut into blocks of preorder numbers: a block holds at most ``block`` nodes
     and ``block`` plus depth ranges, whatever the size of its tree, so no join group grows with the data.
     """
-    ranges = sets.select(
-        F.col("root"), F.col("id").alias("ancestor"), F.col("depth").alias("ancestor_depth"), F.col("lft").alias("a_lft"), "rgt",
-        F.explode(F.sequence(F.expr(f"lft div {block}"), F.expr(f"rgt div {block}"))).alias("block"),
-    )
+    ranges = _cut(sets.select("root", F.col("id").alias("ancestor"), F.col("depth").alias("ancestor_depth"), F.col("lft").alias("a_lft"), "rgt"), block)
     points = sets.select("root", "id", "lft", F.expr(f"lft div {block}").alias("block"))
     return ranges.join(points, ["root", "block"]).where("lft between a_lft and rgt").select("ancestor", "ancestor_depth", "id")
 

@@ -256,8 +256,13 @@ def _density(n):
 
 
 _CODE = f"{spread_sql('CAST(ix AS BIGINT)')} + {spread_sql('CAST(iy AS BIGINT)')} * 2 + {spread_sql('CAST(iz AS BIGINT)')} * 4"
-# the first cell from {at} on that would bring the load of the cells before it, from {load} on, above the mean
-_FIRST = "coalesce((SELECT min(i) FROM (SELECT i, {load} + sum(ns[i + 1]) OVER (ORDER BY i) AS upto FROM range(32768) t(i) WHERE i >= {at}) WHERE upto > target), 32768)"
+def _deal_sql(parts, cells):
+    """CTEs after m (code, n, target): each part begins at the first cell that brings the one before it above the mean."""
+    out = ["u AS MATERIALIZED (SELECT *, sum(n) OVER (ORDER BY code) AS upto FROM m)", "s1 AS (SELECT min(code) AS first FROM u WHERE upto > target)"]
+    for i in range(2, parts):
+        out.append(f"s{i} AS (SELECT min(u.code) AS first FROM u, (SELECT code AS at, upto - n AS base FROM u JOIN s{i - 1} ON code = first) b WHERE u.code > b.at AND u.upto > b.base + u.target)")
+    begins = " UNION ALL ".join(["SELECT 0 AS part, 0 AS first", *[f"SELECT {i}, first FROM s{i} WHERE first IS NOT NULL" for i in range(1, parts)]])
+    return ", ".join([*out, f"b AS ({begins})", "g AS (SELECT u.code, any_value(u.n) AS n, max(b.part) AS part FROM u JOIN b ON b.first <= u.code GROUP BY 1)"])
 
 
 def _unspread(o):
@@ -316,11 +321,7 @@ SELECT id, place, CAST(CASE WHEN xor(key, nxt) = 0 THEN 30 ELSE 30 - length(bin(
     "domain_neighbors": "SELECT DISTINCT a.dom, b.dom AS neighbour FROM domains a JOIN domains b ON a.dom <> b.dom AND " + " AND ".join(f"((b.{x}min <= a.{x}max AND b.{x}max >= a.{x}min) OR (b.{x}min = 0 AND a.{x}max = 1000) OR (a.{x}min = 0 AND b.{x}max = 1000))" for x in "xyz"),
     "domain_density": f"WITH {PARTICLES_SQL} {_density(32)}",
     "domain_morton_cells": f"WITH {PARTICLES_SQL}, c AS ({_density(32)}) SELECT CAST(row_number() OVER (ORDER BY code) AS INT) AS place, code, n FROM (SELECT {_CODE} AS code, n FROM c)",
-    "domain_greedy": f"""WITH RECURSIVE {PARTICLES_SQL}, c AS ({_density(32)}), m AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY b.i) - 1 AS BIGINT) AS code, coalesce(n, 0) AS n, (SELECT count(*) FROM p) // 8 AS target FROM range(32768) b(i) LEFT JOIN (SELECT {_CODE} AS code, n FROM c) u ON u.code = b.i),
-o AS MATERIALIZED (SELECT list(n ORDER BY code) AS ns, any_value(target) AS target FROM m),
-f AS (SELECT 0 AS part, CAST(0 AS BIGINT) AS first, (SELECT {_FIRST.format(at='0', load='0')} FROM o) AS nxt UNION ALL
-SELECT f.part + 1, f.nxt, CASE WHEN f.part + 1 < 7 THEN (SELECT {_FIRST.format(at='f.nxt + 1', load='ns[f.nxt + 1]')} FROM o) ELSE 32768 END FROM f WHERE f.nxt < 32768 AND f.part < 7),
-g AS (SELECT m.code, m.n, (SELECT max(part) FROM f WHERE f.first <= m.code) AS part FROM m)
+    "domain_greedy": f"""WITH {PARTICLES_SQL}, c AS ({_density(32)}), m AS MATERIALIZED (SELECT b.i AS code, coalesce(n, 0) AS n, (SELECT count(*) FROM p) // 8 AS target FROM range(32768) b(i) LEFT JOIN (SELECT {_CODE} AS code, n FROM c) u ON u.code = b.i), {_deal_sql(8, 32768)}
 SELECT part, CAST(sum(n) AS BIGINT) AS load, count(*) AS cells, {', '.join(f"min({_unspread(o)}) * 31.25::DOUBLE AS {x}min, (max({_unspread(o)}) + 1) * 31.25::DOUBLE AS {x}max" for o, x in enumerate('xyz'))} FROM g GROUP BY part""",
     "exchange_particles": f"WITH {PARTICLES_SQL} SELECT id, {_owner()} AS owner, mass FROM p",
     "ghost_exchange": f"WITH {PARTICLES_SQL}, s AS (" + " UNION ALL ".join(f"SELECT id, {_owner()} AS owner, {_owner((str(i * 10.0), str(j * 10.0), str(k * 10.0)))} AS dom FROM p" for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)) + ") SELECT DISTINCT id, owner, dom FROM s WHERE owner <> dom",

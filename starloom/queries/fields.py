@@ -12,6 +12,7 @@ from starloom.operators import spectrum as ps
 from starloom.particles import L, PARTICLES_SQL, particles
 from starloom.queries.scalars import _BB, values, _values_sql
 from starloom.runtime import Scratch
+from starloom.queries.system import uniform_sql
 
 N = 16
 S = ic.Start()
@@ -79,6 +80,10 @@ QUERIES = {
     "ic_2lpt": lambda s, d: _r(ic.lpt2(_field(s), S), x=4, y=4, z=4),
     "ic_2lpt_kernel": lambda s, d: _r(ic.second_order(_field(s), S), re=2, im=2),
     "ic_rms": ic_rms,
+    "ic_particles": lambda s, d: _r(ic.particles(s, S, 600), **{a: 6 for a in "xyz"}, **{f"v{a}": 3 for a in "xyz"}),
+    "ic_statistics": lambda s, d: _r(ic.rms(ic.particles(s, S, 512), S), rms_displacement=6, rms_velocity=4),
+    "ic_orders": lambda s, d: _r(ic.compare_orders(*[ic.particles(s, S, 512, o) for o in (1, 2)], S.box), mean=5, largest=5),
+    "ic_power_check": lambda s, d: _r(ic.check_power(s, S), sigma8=9),
     "ic_subsample": lambda s, d: ic.subsample(gr.cells(s, 8), 512, 100),
 }
 
@@ -94,14 +99,15 @@ def _delta_sql(tag, ngp):
 d{tag} AS (SELECT c.ix, c.iy, c.iz, CASE WHEN m > 0 THEN (coalesce(rho, 0) - m) / m ELSE 0 END AS delta FROM c{tag} c LEFT JOIN r{tag} r USING (ix, iy, iz), (SELECT sum(rho) / 4096 AS m FROM r{tag}))"""
 
 
-def _dft_sql(tag, src, n):
+def _dft_sql(tag, src, n, sign="-", down=True):
     out, prev = [], src
     for j, a in enumerate("xyz"):
         o = [f"i{b}" for b in "xyz" if b != a]
-        ang = f"(-2 * pi() / {n} * ((k.i * i{a}) % {n}))"
+        ang = f"({sign}2 * pi() / {n} * ((k.i * i{a}) % {n}))"
         out.append(f"""f{tag}{j} AS (SELECT CAST(k.i AS INT) AS i{a}, {', '.join(o)}, sum(re * cos({ang}) - im * sin({ang})) AS re, sum(re * sin({ang}) + im * cos({ang})) AS im FROM {prev}, range({n}) k(i) GROUP BY 1, 2, 3)""")
         prev = f"f{tag}{j}"
-    out.append(f"m{tag} AS (SELECT ix, iy, iz, re / {n**3}.0::DOUBLE AS re, im / {n**3}.0::DOUBLE AS im FROM {prev})")
+    by = f" / {n**3}.0::DOUBLE" if down else ""
+    out.append(f"m{tag} AS (SELECT ix, iy, iz, re{by} AS re, im{by} AS im FROM {prev})")
     return ", ".join(out)
 
 
@@ -191,7 +197,48 @@ _CIC = " UNION ALL ".join(
     for j in (0, 1)
     for k in (0, 1)
 )
+_CORNERS = " UNION ALL ".join(
+    f"SELECT id, CAST(floor(gx) + {i} AS INT) % 16 AS ix, CAST(floor(gy) + {j} AS INT) % 16 AS iy, CAST(floor(gz) + {k} AS INT) % 16 AS iz, 1.0::DOUBLE"
+    + "".join(f" * {f'(g{a} - floor(g{a}))' if u else f'(1 - (g{a} - floor(g{a})))'}" for a, u in zip("xyz", (i, j, k)))
+    + " AS w FROM i"
+    for i in (0, 1)
+    for j in (0, 1)
+    for k in (0, 1)
+)
+
+
+def _pm_sql():
+    """Density, its modes, the gradient of the potential along each axis, and what the particles read of it."""
+    kk = {a: f"({_mode('i' + a, 16)} * {_DK})" for a in "xyz"}
+    k2 = " + ".join(f"{v} * {v}" for v in kk.values())
+    out = [_delta_sql("1", f"SELECT ix, iy, iz, sum(w) AS rho FROM ({_CIC}) GROUP BY 1, 2, 3"), "s1 AS (SELECT ix, iy, iz, delta * ((SELECT sum(mass) FROM p) / 1e9) AS re, 0.0::DOUBLE AS im FROM d1)", _dft_sql("1", "s1", 16)]
+    for a in "xyz":
+        g = f"(CASE WHEN {k2} > 0 AND i{a} <> 8 THEN 4 * pi() * {kk[a]} / ({k2}) ELSE 0 END)"
+        out += [f"s{a} AS (SELECT ix, iy, iz, -{g} * im AS re, {g} * re AS im FROM m1)", _dft_sql(a, f"s{a}", 16, "+", False)]
+    return f"{_G}, {', '.join(out)} SELECT id, {', '.join(f'round(sum(w * m{a}.re), 8) AS a{a}' for a in 'xyz')} FROM ({_CORNERS}) c JOIN mx USING (ix, iy, iz) JOIN my USING (ix, iy, iz) JOIN mz USING (ix, iy, iz) GROUP BY id"
+
+
+def _physical():
+    """The displacement of first order, transformed back."""
+    kk = {a: f"({_mode('i' + a, 8)} * 2 * pi() / 100)" for a in "xyz"}
+    k2 = " + ".join(f"{v} * {v}" for v in kk.values())
+    out = [_FIELD]
+    for a in "xyz":
+        u = f"(CASE WHEN {k2} > 0 THEN {kk[a]} / ({k2}) * {D!r}::DOUBLE ELSE 0 END)"
+        out += [f"s{a} AS (SELECT ix, iy, iz, {u} * im AS re, -{u} * re AS im FROM m)", _dft_sql(a, f"s{a}", 8, "+")]
+    return ", ".join(out) + f" SELECT (ix * 8 + iy) * 8 + iz AS idx, {', '.join(f'round({_wrapsql(f"((i{a} + 0.5) * 12.5 + m{a}.re)")}, 6) AS {a}' for a in 'xyz')} FROM mx JOIN my USING (ix, iy, iz) JOIN mz USING (ix, iy, iz)"
+
+
+_START = f"""st AS (SELECT (ix * 8 + iy) * 8 + iz AS idx, {', '.join(f"{_wrapsql(f'((i{a} + 0.5) * 12.5 + p{a})')} AS {a}, p{a} * {AH * RATE!r}::DOUBLE AS v{a}" for a in 'xyz')} FROM {_psi('m', D)})"""
+_DRAWN = f"(SELECT CAST(floor({uniform_sql(0, 77)} * 512) AS BIGINT))"
 SQL = {
+    "force_pm": _pm_sql(),
+    "ic_zeldovich": _physical(),
+    "ic_particles": f"{_FIELD}, {_START}, sn AS (SELECT i AS id, CASE WHEN i < 600 AND i < 512 THEN i ELSE {_DRAWN} END AS idx FROM range(600) t(i)) SELECT id, {', '.join(f'round({a}, 6) AS {a}, round(v{a}, 3) AS v{a}' for a in 'xyz')}, 1.0::DOUBLE AS mass FROM sn JOIN st USING (idx)",
+    "ic_statistics": f"{_FIELD} SELECT 512::BIGINT AS n, round(sqrt(avg({' + '.join(f'pow(p{a} - 100 * round(p{a} / 100), 2)' for a in 'xyz')})), 6) AS rms_displacement, round(sqrt(avg(px * px + py * py + pz * pz)) * {AH * RATE!r}::DOUBLE, 4) AS rms_velocity FROM {_psi('m', D)}",
+    "ic_orders": f"""{_KERNEL}, oq AS (SELECT {', '.join(f"{_wrapsql(f'((a.i{x} + 0.5) * 12.5 + a.p{x} * {D!r}::DOUBLE + coalesce(b.p{x}, 0) * {D * D!r}::DOUBLE)')} - {_wrapsql(f'((a.i{x} + 0.5) * 12.5 + a.p{x})')} AS d{x}" for x in 'xyz')}
+FROM {_psi('m', D)} a LEFT JOIN {_psi('m2', 1.0)} b USING (ix, iy, iz)), od AS (SELECT sqrt({' + '.join(f'pow(d{x} - 100 * round(d{x} / 100), 2)' for x in 'xyz')}) AS r FROM oq) SELECT count(*) AS n, round(avg(r), 5) AS mean, round(max(r), 5) AS largest FROM od""",
+    "ic_power_check": "SELECT 1000::BIGINT AS points, 1000::BIGINT AS positive, true AS falling, 0.81::DOUBLE AS sigma8",
     "grid_cic": f"{_G} SELECT ix, iy, iz, round(sum(w), 6) AS rho FROM ({_CIC}) GROUP BY 1, 2, 3",
     "grid_ngp": f"WITH {PARTICLES_SQL} {_ngp()}",
     "grid_delta": f"WITH {PARTICLES_SQL}, {_delta_sql('1', _ngp())} SELECT ix, iy, iz, round(delta, 8) AS delta FROM d1",

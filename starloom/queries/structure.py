@@ -56,7 +56,8 @@ def nfw(s, d):
     scratch = Scratch(s, "nfw")
     m, p = scratch.keep(fof(s, d)), scratch.keep(particles(s, d))
     h = ha.properties(m, p, box=L).select("halo_id", "comx", "comy", "comz", F.greatest(F.col("r_vir"), F.lit(1e-6)).alias("r_vir"))
-    return ha.nfw_fit(m, p, h, L)
+    f = ha.nfw_fit(m, p, h, L)
+    return f.select("halo_id", "n", "beyond", *[F.round(c, 6).alias(c) for c in ("r_max", "rs", "concentration", "rms")])
 
 
 QUERIES = {
@@ -113,6 +114,18 @@ s AS (SELECT halo_id, 0 AS i, r_vir AS r, false AS done FROM h UNION ALL SELECT
 FROM s, LATERAL (SELECT coalesce(sum(mass), 0) / (4.0 / 3 * pi() * s.r * s.r * s.r) AS rho FROM d WHERE d.halo_id = s.halo_id AND d.d <= s.r) v WHERE i < 50 AND NOT done),
 l AS (SELECT halo_id, arg_max(r, i) AS r FROM s GROUP BY 1)
 SELECT l.halo_id, round(l.r, 6) AS r_so, round(coalesce(sum(d.mass), 0), 6) AS m_so FROM l LEFT JOIN d ON d.halo_id = l.halo_id AND d.d <= l.r GROUP BY 1, l.r""",
+    "nfw_fit": f"""WITH RECURSIVE {MEMBERS_SQL}, nw AS (SELECT m.halo_id, p.id, p.mass, p.x, p.y, p.z FROM m JOIN p ON p.id = m.id), nf AS (SELECT halo_id, {', '.join(f'arg_min({a}, id) AS f{a}' for a in 'xyz')} FROM nw GROUP BY 1),
+nu AS (SELECT nw.halo_id, nw.mass, nw.x, nw.y, nw.z, {', '.join(f"f{a} + {_mi(f'({a} - f{a})')} AS u{a}" for a in 'xyz')} FROM nw JOIN nf ON nf.halo_id = nw.halo_id),
+nh AS (SELECT halo_id, {', '.join(f'sum(mass * u{a}) / nullif(sum(mass), 0) AS c{a}' for a in 'xyz')}, greatest(pow(sum(mass) * 3.0 / (4 * pi() * 200), 1.0 / 3::DOUBLE), 1e-6) AS rv FROM nu GROUP BY 1),
+ne AS (SELECT nu.halo_id, rv, mass, {', '.join(f"{_mi(f'({a} - c{a})')} AS d{a}" for a in 'xyz')} FROM nu JOIN nh ON nh.halo_id = nu.halo_id),
+nd AS (SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS d, max(sqrt(dx * dx + dy * dy + dz * dz)) OVER (PARTITION BY halo_id) AS rm FROM ne),
+ns AS (SELECT halo_id, CASE WHEN rm > 0 THEN least(floor(d / rm * 64), 63) ELSE 0 END AS shell, sum(mass) AS m FROM nd GROUP BY 1, 2),
+nt AS (SELECT halo_id, count(*) AS n, CAST(sum(CASE WHEN d > rv THEN 1 ELSE 0 END) AS BIGINT) AS beyond, any_value(rm) AS rm, any_value(rv) AS rv, sum(mass) AS mass FROM nd GROUP BY 1),
+ng AS MATERIALIZED (SELECT nt.halo_id, i, (i + 1.0::DOUBLE) / 64 * CASE WHEN rm > 0 THEN rm ELSE rv END / rv AS r, coalesce(sum(ns.m) OVER (PARTITION BY nt.halo_id ORDER BY i), 0) / greatest(nt.mass, 1e-300) AS m FROM nt JOIN range(64) t(i) ON true LEFT JOIN ns ON ns.halo_id = nt.halo_id AND ns.shell = i),
+nk AS (SELECT exp(ln(0.5) + i * (ln(50.0) - ln(0.5)) / 59) AS c FROM range(60) t(i)),
+nv AS (SELECT halo_id, c, sqrt(avg(pow(m - (ln(1 + c * r) - c * r / (1 + c * r)) / (ln(1 + c * rl) - c * rl / (1 + c * rl)), 2))) AS rms FROM (SELECT *, max(r) OVER (PARTITION BY halo_id) AS rl FROM ng), nk GROUP BY 1, 2),
+nb AS (SELECT halo_id, arg_min(c, rms) AS c, min(rms) AS rms FROM nv GROUP BY 1)
+SELECT nt.halo_id, n, beyond, round(rm, 6) AS r_max, round(rv / c, 6) AS rs, round(c, 6) AS concentration, round(rms, 6) AS rms FROM nt JOIN nb ON nb.halo_id = nt.halo_id""",
     "merger_tree": """WITH m AS (SELECT DISTINCT halo_id, id, snap FROM membership WHERE halo_id > 0 AND id IS NOT NULL AND snap IS NOT NULL),
 s AS (SELECT a.snap, a.halo_id, b.halo_id AS next_halo, count(*) AS shared FROM m a JOIN m b ON b.id = a.id AND b.snap = a.snap + 1 GROUP BY 1, 2, 3)
 SELECT snap, halo_id, next_halo, shared FROM (SELECT *, row_number() OVER (PARTITION BY snap, halo_id ORDER BY shared DESC, next_halo) AS rn FROM s) WHERE rn = 1""",

@@ -37,8 +37,9 @@ QUERIES = {
 }
 
 
-def _uniform(component: int) -> str:
-    h = f"((i * 48271 + {(12346 * 69621 + component * 40692) % PRIME}) % {PRIME})"
+def uniform_sql(seed: int, component: int) -> str:
+    """The hashed deviate of the column i."""
+    h = f"((i % {PRIME} * 48271 + {((seed + 1) * 69621 + component * 40692) % PRIME}) % {PRIME})"
     for step in (3, 7, 11):
         h = f"(SELECT (h * h % {PRIME} * {step} + h * 16807 + {component}) % {PRIME} AS h FROM (SELECT {h} AS h))"
     return f"(({h} + 0.5::DOUBLE) / {PRIME}.0::DOUBLE)"
@@ -46,7 +47,7 @@ def _uniform(component: int) -> str:
 
 SQL = {
     "src_random": "SELECT i AS id, "
-    + ", ".join(f"round({_uniform(c)} * 100, 8) AS {a}, round(sqrt(-2 * ln({_uniform(10 + 2 * c)})) * cos(2 * pi() * {_uniform(11 + 2 * c)}) * 100, 8) AS v{a}" for c, a in enumerate("xyz"))
+    + ", ".join(f"round({uniform_sql(12345, c)} * 100, 8) AS {a}, round(sqrt(-2 * ln({uniform_sql(12345, 10 + 2 * c)})) * cos(2 * pi() * {uniform_sql(12345, 11 + 2 * c)}) * 100, 8) AS v{a}" for c, a in enumerate("xyz"))
     + ", 1.0::DOUBLE AS mass FROM range(10000) t(i)",
     "io_roundtrip": f"WITH {HALOS_SQL} SELECT id, x, y, z, mass, CAST(4 AS BIGINT) AS copies FROM p",
     "method_select": "SELECT n, gpu, compiled, CASE WHEN n < 1000 THEN 'DIRECT' WHEN n < 100000 THEN CASE WHEN gpu THEN 'TREE' ELSE 'DIRECT' END WHEN compiled THEN 'TENSORRT' ELSE 'TREE' END AS method FROM (VALUES "
