@@ -19,7 +19,7 @@ import random
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BITS, EXACT, ROWS, WIDTH = 22, 10, 5, 1024
@@ -67,6 +67,21 @@ def sketch(df: DataFrame, group: list[str], value: str, weight: Column | None =
     return fed.select(*group, "level", "row", bucket.alias("bucket"), signed.alias("total")).groupBy(*group, "level", "row", "bucket").agg(F.sum("total").alias("total"))
 
 
+def changes(rows: DataFrame, key: list[str], at: str, load: Column) -> DataFrame:
+    """The rows with their ``load`` and weight 1, and each row that a later one of its key replaces once more with weight -1
+    in that later one's load. Added up over all loads only the latest row of each key counts.
+
+    Rows of a key are ordered by ``at``, null first, then by their other columns, so equal times never depend on row
+    order; a key has as many rows as it was delivered.
+    """
+    rest = [F.col(f"`{c}`").asc_nulls_first() for c in rows.columns if c not in key and c != at]
+    w = Window.partitionBy(*key).orderBy(F.col(at).asc_nulls_first(), *rest)
+    own = rows.withColumn("load", F.coalesce(load, F.lit("")))
+    both = own.withColumn("_next", F.lead("load").over(w))
+    each = F.array(F.struct(F.col("load"), F.lit(1).alias("weight")), F.when(F.col("_next").isNotNull(), F.struct(F.col("_next").alias("load"), F.lit(-1).alias("weight"))))
+    return both.withColumn("_c", F.explode(F.array_compact(each))).select(*rows.columns, "_c.load", "_c.weight")
+
+
 def merge(group: list[str], *sketches: DataFrame) -> DataFrame:
     """The sketch of all rows of several sketches."""
     out = sketches[0]
@@ -121,6 +136,18 @@ def quantiles(counters: DataFrame, group: list[str], qs: list[float]) -> DataFra
     return counters.groupBy(*group).applyInPandas(run, schema)
 
 
+def rank_errors(df: DataFrame, group: list[str], value: str, found: DataFrame) -> DataFrame:
+    """(group, q, n, error): by how many ranks each found percentile misses the rank asked for. Values within the step of
+    the encoding count as equal. Percentiles are few, so they are broadcast and counted on the map side."""
+    v, e = F.col(value), F.col("_value")
+    step = 1.0 / STEPS
+    few = found.select(*group, "q", F.col("value").alias("_value"))
+    both = df.select(*group, value).join(F.broadcast(few), group)
+    counts = both.groupBy(*group, "q").agg(F.count(F.lit(1)).alias("n"), F.count_if(v < e - F.abs(e) * step).alias("_below"), F.count_if(v <= e + F.abs(e) * step).alias("_upto"))
+    rank = F.greatest(F.lit(1.0), F.ceil(F.col("q") * F.col("n")))
+    return counts.select(*group, "q", "n", F.greatest(F.lit(0.0), F.col("_below") + 1 - rank, rank - F.col("_upto")).alias("error"))
+
+
 def outliers(df: DataFrame, group: list[str], value: str, factor: float, quartiles: DataFrame) -> DataFrame:
     """Rows whose positive value is above factor times the upper quartile, or below the lower quartile divided
     by factor, of their group. ``quartiles`` has (group, q, value) at 0.25 and 0.75."""

@@ -78,3 +78,23 @@ def test_outliers(spark):
     df = spark.createDataFrame([(1, float(v), i) for i, v in enumerate([10] * 20 + [100, 1, -5, 0])] + [(1, None, 90), (1, float("nan"), 91)], "g int, v double, i int")
     q = sketch.quantiles(sketch.sketch(df.where("v > 0 and not isnan(v)"), ["g"], "v"), ["g"], [0.25, 0.75])
     assert {r["i"] for r in sketch.outliers(df, ["g"], "v", 8.0, q).collect()} == {20, 21}
+
+
+def test_loads_with_replaced_rows_equal_the_latest_rows(spark):
+    rnd = random.Random(11)
+    rows = []
+    for k in range(400):
+        for t in range(rnd.choice([1, 1, 2, 3])):
+            rows.append((k, f"2020-0{t + 1}", rnd.choice([1, 1, 2]), rnd.choice([None, float("nan"), rnd.uniform(1, 9)])))
+    rows += [(900, None, 1, 5.0), (900, "2020-02", 2, 6.0)]
+    df = spark.createDataFrame(rows, "k int, at string, g int, v double").withColumn("weight0", F.lit("x"))
+    loads = sketch.sketch(sketch.changes(df, ["k"], "at", F.col("at")), ["load", "g"], "v", F.col("weight"))
+    last = {}
+    for r in sorted(rows, key=lambda r: (r[0], r[1] or "")):
+        last[r[0]] = r
+    whole = sketch.sketch(spark.createDataFrame(list(last.values()), "k int, at string, g int, v double"), ["g"], "v")
+    merged = {tuple(r) for r in sketch.merge(["g"], loads).where("total <> 0").collect()}
+    assert merged == {tuple(r) for r in whole.where("total <> 0").collect()}
+    now = spark.createDataFrame(list(last.values()), "k int, at string, g int, v double").where("v > 0 and not isnan(v)")
+    errors = sketch.rank_errors(now, ["g"], "v", sketch.quantiles(sketch.merge(["g"], loads), ["g"], QS)).collect()
+    assert len(errors) == 2 * len(QS) and all(r["error"] <= max(2, 0.01 * r["n"]) for r in errors)
