@@ -8,13 +8,17 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.operators import grid as gr
+from starloom.operators.skew import prefix_sums
 from starloom.runtime import Scratch
 
-TILE = 4096  # rows of a block; a pair of blocks is evaluated in slices of at most SLICE pairs
+TILE = 4096  # most sources that go to every task, evaluated in slices of at most SLICE pairs
+BLOCKS = 10  # that more of them are cut into, each of at least TILE and at most SPAN rows
+SPAN = 1 << 18
+STRIP = 256  # rows of two blocks that meet at a time
 SLICE = 1 << 20
 MESH = 32**3  # cells of a field that is broadcast
 OUT = "id bigint, ax double, ay double, az double, phi double"
@@ -38,47 +42,207 @@ def _frame(ids: np.ndarray, a: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"id": ids, "ax": a[:, 0], "ay": a[:, 1], "az": a[:, 2], "phi": a[:, 3]})
 
 
-def direct(targets: DataFrame, sources: DataFrame, eps: float, box: float | None = None) -> DataFrame:
-    """(id, ax, ay, az, phi): softened gravity of all sources at each target, G = 1, minimum image with ``box``.
-
-    Up to TILE sources (counted first) go to every task and targets aren't shuffled. Beyond that both sides are
-    cut into blocks of about TILE rows; every pair of blocks is one cogroup of bounded size, whose partial sums
-    are added per target. No pair ever becomes a row.
+def _meet(tid: np.ndarray, sid: np.ndarray) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """By pair of strips: the places (target, source) within them that have equal ids."""
+    order = np.argsort(sid, kind="stable")
+    first = np.searchsorted(sid[order], tid, "left")
+    n = np.searchsorted(sid[order], tid, "right") - first
+    i = np.repeat(np.arange(len(tid)), n)
+    j = order[np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+    found: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
+    for u, v in zip(i.tolist(), j.tolist()):
+        at = found.setdefault((u // STRIP, v // STRIP), ([], []))
+        at[0].append(u % STRIP)
+        at[1].append(v % STRIP)
+    return {k: (np.array(u), np.array(v)) for k, (u, v) in found.items()}
+
+
+def _tiles(t: np.ndarray, tid: np.ndarray, s: np.ndarray, sid: np.ndarray, eps: float, box: float | None, both: bool, want: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Acceleration and potential at (n, 4) targets from (m, 4) sources and, with ``both``, of the sources from the targets;
+    ``t is s`` counts each pair of one block once as well. Both are in an order that keeps neighbours together.
+
+    Strips of STRIP targets meet strips of STRIP sources. Where the bounds of two strips are apart, squared distances and sums
+    are small matrix products around the targets' middle, which lose no more than a few roundings, and one shift holds for all
+    images; only an axis along which some of the pairs take another image than others is evaluated by differences. Strips that are close
+    by go through :func:`_kernel`'s differences.
     """
-    cols = ["id", "x", "y", "z", "mass"]
-    sources, targets = sources.select(*cols), targets.select(*cols[:4])
+    out, back = np.zeros((len(t), 4)), np.zeros((len(s), 4))
+    same, meet, starts, half = t is s, _meet(tid, sid), np.arange(0, len(s), STRIP), (box or np.inf) / 2
+    pull, phi = any(c != "phi" for c in want), "phi" in want
+    slo, shi, mass = np.minimum.reduceat(s[:, :3], starts), np.maximum.reduceat(s[:, :3], starts), s[:, 3]
+    bufs = [np.empty(STRIP * STRIP) for _ in range(3)]
+    for a in range(0, len(t), STRIP):
+        x, acc = t[a : a + STRIP], out[a : a + STRIP]
+        lo, hi = x[:, :3].min(0), x[:, :3].max(0)
+        mid = (lo + hi) / 2
+        least, most = slo - hi, shi - lo  # of source minus target, by strip
+        shift = np.where(least > half, -(box or 0.0), np.where(most < -half, box or 0.0, 0.0))
+        split = (shift == 0) & ((most > half) | (least < -half))
+        gap = np.maximum(np.maximum(least + shift, -(most + shift)), 0.0)
+        if box is not None:
+            gap = np.where(split, np.maximum(np.maximum(np.minimum(least, box - most), np.minimum(-most, box + least)), 0.0), gap)
+        whole = ~split
+        reach = np.maximum(np.abs(slo + shift - mid), np.abs(shi + shift - mid)) * whole
+        apart = (gap * gap).sum(1) + eps * eps >= np.maximum(reach * reach, 1e-300).sum(1) / 16
+        rows = np.repeat(np.arange(len(starts)), STRIP)[: len(s)]
+        c = (s[:, :3] + (shift - mid)[rows]) * whole[rows]
+        right = np.empty((5, len(s)))
+        right[:3], right[3], right[4] = c.T, 1.0, (c * c).sum(1)
+        moments = np.column_stack([c * mass[:, None], mass])
+        for k, b in enumerate(starts):
+            if same and b < a:
+                continue
+            y, other = s[b : b + STRIP], not (same and a == b) and (both or same)
+            shape, pairs = (len(x), len(y)), meet.get((a // STRIP, k))
+            if not apart[k]:
+                _close(x, y, eps, box, pairs, pull, phi, acc, back[b : b + STRIP] if other else None)
+                continue
+            r2, w, e = (v[: shape[0] * shape[1]].reshape(shape) for v in bufs)
+            u = (x[:, :3] - mid) * whole[k]
+            left = np.column_stack([-2.0 * u, (u * u).sum(1) + eps * eps, np.ones(len(u))])
+            np.dot(left, right[:, b : b + STRIP], out=r2)
+            axes = np.flatnonzero(split[k])
+            ds = []
+            for j in axes:
+                d = y[None, :, j] - x[:, None, j]
+                if most[k, j] > half:
+                    d -= (d > half) * box
+                if least[k, j] < -half:
+                    d += (d < -half) * box
+                np.multiply(d, d, out=e)
+                r2 += e
+                ds.append(d)
+            np.sqrt(r2, out=w)
+            if pull:
+                w *= r2
+            np.divide(1.0, w, out=w)
+            if pairs is not None:
+                w[pairs] = 0.0
+            p = w if not pull else np.multiply(w, r2, out=r2) if phi else None
+            if phi:
+                acc[:, 3] -= p @ mass[b : b + STRIP]
+                if other:
+                    back[b : b + STRIP, 3] -= x[:, 3] @ p
+            if pull:
+                g = w @ moments[b : b + STRIP]
+                acc[:, :3] += g[:, :3] - u * g[:, 3:]
+                if other:
+                    h = np.column_stack([u * x[:, 3:], x[:, 3]]).T @ w
+                    back[b : b + STRIP, :3] += (h[:3] - right[:3, b : b + STRIP] * h[3]).T
+                for j, d in zip(axes, ds):
+                    d *= w
+                    acc[:, j] += d @ y[:, 3]
+                    if other:
+                        back[b : b + STRIP, j] -= x[:, 3] @ d
+    if same:
+        out += back
+    return out, back
+
+
+def _close(x: np.ndarray, y: np.ndarray, eps: float, box: float | None, pairs: tuple[np.ndarray, np.ndarray] | None, pull: bool, phi: bool, acc: np.ndarray, back: np.ndarray | None) -> None:
+    """Adds the pull of strip y on strip x to ``acc`` and, if given, of x on y to ``back``, by differences of each pair."""
+    ds, r2 = [], np.full((len(x), len(y)), eps * eps)
+    for j in range(3):
+        d = y[None, :, j] - x[:, None, j]
+        if box is not None:
+            d = np.where(d > box / 2, d - box, np.where(d < -box / 2, d + box, d))
+        r2 += d * d
+        ds.append(d)
+    none = r2 == 0
+    r2[none] = 1.0
+    w = 1.0 / np.sqrt(r2)
+    w[none] = 0.0
+    if pairs is not None:
+        w[pairs] = 0.0
+    if phi:
+        acc[:, 3] -= w @ y[:, 3]
+        if back is not None:
+            back[:, 3] -= x[:, 3] @ w
+    if pull:
+        w /= r2
+        for j, d in enumerate(ds):
+            d *= w
+            acc[:, j] += d @ y[:, 3]
+            if back is not None:
+                back[:, j] -= x[:, 3] @ d
+
+
+def _slots(spark: SparkSession, n: int) -> list[int]:
+    """n integers that hash partitioning puts into n different partitions."""
+    at = F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("at")
+    return [r[0] for r in spark.range(64 * n).groupBy(at).agg(F.min("id").cast("int").alias("id")).orderBy("at").select("id").collect()]
+
+
+def _in_order(df: DataFrame, scratch: Scratch) -> tuple[DataFrame, int, int]:
+    """(id, x, y, z, mass, rank) with ranks along a space-filling curve, their number, and how many ranks make a block."""
+    kept = scratch.keep(df)
+    ends = kept.agg(F.count(F.lit(1)), *[f(F.nanvl(a, F.lit(None).cast("double"))) for a in "xyz" for f in (F.min, F.max)]).first()
+    key = F.lit(0).cast("long")
+    for a, lo, hi, by in zip("xyz", ends[1::2], ends[2::2], (4, 2, 1)):
+        at = F.coalesce(F.nanvl((F.col(a) - (lo or 0.0)) / (((hi or 0.0) - (lo or 0.0)) or 1.0), F.lit(0.0)), F.lit(0.0))
+        key = key + _spread(F.least(F.floor(at * (1 << DEPTH)), F.lit((1 << DEPTH) - 1)).cast("long")) * by
+    ranked = prefix_sums(df.sparkSession, kept.withColumns({"key": key, "one": F.lit(1).cast("long")}), [], ["key", "id"], "one", "rank", scratch)
+    n = ends[0]
+    blocks = max(min(-(-n // TILE), BLOCKS), -(-n // SPAN), 1)
+    return scratch.keep(ranked.drop("key", "one")), n, max(1, -(-n // blocks))
+
+
+def direct(targets: DataFrame, sources: DataFrame, eps: float, box: float | None = None, want: tuple[str, ...] = ("ax", "ay", "az", "phi")) -> DataFrame:
+    """(id, ax, ay, az, phi), or those ``want``ed: softened gravity of all sources at each target, G = 1, minimum image with ``box``.
+
+    Up to TILE sources (counted first) go to every task and targets aren't shuffled. Beyond that both sides are cut
+    along a space-filling curve into BLOCKS blocks, or more of at most SPAN rows; every pair of blocks is one group of
+    bounded size in a partition of its own, whose partial sums are added per target. When the targets are the
+    sources (one DataFrame), a pair of blocks is evaluated once for both. No pair of records ever becomes a row.
+    """
+    cols, itself, spark = ["id", "x", "y", "z", "mass"], targets is sources, sources.sparkSession
+    out = "id bigint, " + ", ".join(f"{c} double" for c in want)
+    sources = sources.select(*cols)
     m = sources.count()
     if m <= TILE:
         src = sources.toPandas()
         s, sid = src[cols[1:]].to_numpy(float), src["id"].to_numpy()
 
-        def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def close(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in frames:
-                yield _frame(pdf["id"].to_numpy(), _kernel(pdf[["x", "y", "z"]].to_numpy(float), pdf["id"].to_numpy(), s, sid, eps, box))
-
-        return targets.mapInPandas(near, OUT)
-    nt, ns = -(-targets.count() // TILE), -(-m // TILE)
-    t = targets.withColumn("ti", F.pmod(F.xxhash64("id"), F.lit(nt))).withColumn("si", F.explode(F.sequence(F.lit(0), F.lit(ns - 1))))
-    # fresh names, so that targets and sources of one table stay apart
-    s = sources.select(*[F.col(c).alias(f"s_{c}") for c in cols])
-    s = s.withColumn("s_si", F.pmod(F.xxhash64("s_id"), F.lit(ns)).cast("int")).withColumn("s_ti", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nt - 1).cast("long"))))
-
-    def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty:
-            return _frame(np.zeros(0, np.int64), np.zeros((0, 4)))
-        ids = a["id"].to_numpy()
-        if b.empty:
-            return _frame(ids, np.zeros((len(ids), 4)))
-        return _frame(ids, _kernel(a[["x", "y", "z"]].to_numpy(float), ids, b[["s_x", "s_y", "s_z", "s_mass"]].to_numpy(float), b["s_id"].to_numpy(), eps, box))
-
-    parts = t.groupBy("ti", "si").cogroup(s.groupBy("s_ti", "s_si")).applyInPandas(tile, OUT)
-    return all_reduce(parts)
+                yield _frame(pdf["id"].to_numpy(), _kernel(pdf[["x", "y", "z"]].to_numpy(float), pdf["id"].to_numpy(), s, sid, eps, box))[["id", *want]]
+
+        return targets.select(*cols[:4]).mapInPandas(close, out)
+    scratch = Scratch(spark, "direct")
+    rows, n, size = _in_order(sources, scratch)
+    ns, each = -(-n // size), F.floor(F.col("rank") / size).cast("int")
+    if itself:
+        nt = ns
+        across = F.transform(F.sequence(F.lit(0), F.lit(ns - 1)), lambda o: F.struct((F.least(each, o) * ns + F.greatest(each, o)).alias("pair"), (each > o).alias("source")))
+        rows = rows.select(*cols, "rank", F.inline(across))
+        used = [i * ns + j for i in range(ns) for j in range(i, ns)]
+    else:
+        t, n, size = _in_order(targets.select(*cols[:4], F.lit(0.0).alias("mass")), scratch)
+        nt, own = max(1, -(-n // size)), F.floor(F.col("rank") / size).cast("int")
+        s = rows.select(*cols, "rank", F.explode(F.sequence(F.lit(0), F.lit(nt - 1))).alias("o"), each.alias("b")).select(*cols, "rank", (F.col("o") * ns + F.col("b")).alias("pair"), F.lit(True).alias("source"))
+        t = t.select(*cols, "rank", F.explode(F.sequence(F.lit(0), F.lit(ns - 1))).alias("o"), own.alias("b")).select(*cols, "rank", (F.col("b") * ns + F.col("o")).alias("pair"), F.lit(False).alias("source"))
+        rows, used = t.unionByName(s), list(range(nt * ns))
+    place = dict(zip(used, _slots(spark, len(used))))
+    slots = F.array(*[F.lit(place.get(i, -1)) for i in range(nt * ns)])
+    rows = rows.withColumn("slot", F.get(slots, F.col("pair"))).drop("pair").repartition(len(used), "slot")
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rank")
+        two = [(p["id"].to_numpy(), p[cols[1:]].to_numpy(float)) for p in (pdf[~pdf["source"]], pdf[pdf["source"]])]
+        (tid, a), (sid, b) = two if not itself or len(two[1][0]) else two[:1] * 2
+        if not len(tid):
+            return _frame(tid, a)[["id", *want]]
+        got, back = _tiles(a, tid, b, sid, eps, box, itself, want)
+        parts = [_frame(tid, got), *[_frame(sid, back)] * (itself and a is not b)]
+        return pd.concat(parts)[["id", *want]]
+
+    return all_reduce(rows.groupBy("slot").applyInPandas(block, out))
 
 
 def all_reduce(*parts: DataFrame) -> DataFrame:
     """Partial accelerations added up per record."""
     whole = reduce(DataFrame.unionByName, parts)
-    return whole.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("ax", "ay", "az", "phi")])
+    return whole.groupBy("id").agg(*[F.sum(c).alias(c) for c in whole.columns if c != "id"])
 
 
 def pair_forces(bodies: DataFrame, eps: float = 0.01, factor: float = 1.0) -> DataFrame:

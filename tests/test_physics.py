@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 import pandas as pd
@@ -78,6 +79,72 @@ def test_blocks_agree_with_broadcast_and_momentum_is_conserved(bodies, monkeypat
         assert sum(mass[i] * a[i][c] for i in a) == pytest.approx(0, abs=1e-7)
 
 
+@pytest.mark.parametrize("box", [None, 100.0])
+@pytest.mark.parametrize("eps", [0.0, 0.1])
+def test_strips_agree_with_differences_of_each_pair(box, eps, monkeypatch):
+    monkeypatch.setattr(fo, "STRIP", 32)
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.random((700, 3)) * 100, rng.random(700)])
+    x[:300, :3] = x[:300, :3] * 0.01 + 49.5  # a clump
+    x[400, :3], x[401, :3], x[402, :3] = x[399, :3], x[399, :3] + (50, 0, 0), x[399, :3] - (0, 50, 0)  # one place; just half a box away
+    x, ids = x[np.lexsort((x[:, 2] // 25, x[:, 1] // 25, x[:, 0] // 25))], rng.permutation(700)
+    every = ("ax", "ay", "az", "phi")
+    whole = fo._kernel(x[:, :3], ids, x, ids, eps, box)
+    close = lambda got, want: np.abs(got - want) <= 1e-12 * (1 + np.abs(whole).max())
+    assert close(fo._tiles(x, ids, x, ids, eps, box, True, every)[0], whole).all()
+    assert close(fo._tiles(x, ids, x, ids, eps, box, True, ("phi",))[0][:, 3], whole[:, 3]).all()
+    got, back = fo._tiles(x[:450], ids[:450], x[450:].copy(), ids[450:], eps, box, True, every)
+    assert close(got, fo._kernel(x[:450, :3], ids[:450], x[450:], ids[450:], eps, box)).all()
+    assert close(back, fo._kernel(x[450:, :3], ids[450:], x[:450], ids[:450], eps, box)).all()
+    some, own = x[::2].copy(), np.where(np.arange(350) % 5 == 0, ids[0], ids[::2])  # the targets' ids, some of them repeated
+    got, _ = fo._tiles(x, ids, some, own, eps, box, False, every)
+    assert close(got, fo._kernel(x[:, :3], ids, some, own, eps, box)).all()
+
+
+def test_blocks_of_different_tables(spark, bodies, monkeypatch):
+    some = bodies.where("id % 3 = 0")
+    for targets, sources in ((bodies, some), (some, bodies), (bodies.limit(0), bodies)):
+        monkeypatch.setattr(fo, "TILE", 4096)
+        a = {r["id"]: tuple(r) for r in fo.direct(targets, sources, 0.1, 10.0).collect()}
+        monkeypatch.setattr(fo, "TILE", 8)
+        b = {r["id"]: tuple(r) for r in fo.direct(targets, sources, 0.1, 10.0).collect()}
+        assert set(a) == set(b) and all(a[i] == pytest.approx(b[i], rel=1e-9, abs=1e-9) for i in a)
+
+
+PULL, EVERY = ("ax", "ay", "az"), ("ax", "ay", "az", "phi")
+
+
+@pytest.mark.parametrize("name, box, want, once", [
+    # one case for each query over direct sums
+    ("cmp_tree_direct", None, PULL, True),
+])
+def test_direct_sums_are_fast_enough_for_a_catalogue(spark, name, box, want, once, monkeypatch):
+    """A query sums only what it returns, and that takes a small part of the time that differences of each pair take."""
+    real, seen = fo.direct, []
+
+    def spy(targets, sources, eps, box=None, want=EVERY):
+        seen.append((targets is sources, box, tuple(want)))
+        return real(targets, sources, eps, box, want)
+
+    monkeypatch.setattr(fo, "direct", spy)
+    dynamics.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert seen and set(seen) == {(once, box, want)}
+    rng = np.random.default_rng(4)
+    x = np.column_stack([rng.random((6000, 3)) * 1000, np.ones(6000)])
+    x, ids = x[np.lexsort((x[:, 1], x[:, 0] // 60))], np.arange(6000)
+    times = []
+    for f in (lambda: fo._tiles(x, ids, x if once else x.copy(), ids, 0.1, box, once, want), lambda: fo._kernel(x[:600, :3], ids[:600], x, ids, 0.1, box)):
+        began = time.process_time()
+        f()
+        times.append(time.process_time() - began)
+    assert times[0] < 10 * times[1] / 3
+
+
+def test_slots_fill_every_partition(spark):
+    at = spark.createDataFrame([(i,) for i in fo._slots(spark, 21)], "slot int").repartition(21, "slot")
+    assert [r["count"] for r in at.groupBy(F.spark_partition_id()).count().collect()] == [1] * 21
+
+
 @pytest.mark.parametrize("periodic", [False, True])
 def test_tree_tends_to_the_direct_sum(bodies, periodic):
     box = 10.0
