@@ -187,19 +187,22 @@ def _in_order(df: DataFrame, scratch: Scratch) -> tuple[DataFrame, int, int]:
     return scratch.keep(ranked.drop("key", "one")), n, max(1, -(-n // blocks))
 
 
-def direct(targets: DataFrame, sources: DataFrame, eps: float, box: float | None = None, want: tuple[str, ...] = ("ax", "ay", "az", "phi")) -> DataFrame:
+def direct(targets: DataFrame, sources: DataFrame, eps: float, box: float | None = None, want: tuple[str, ...] = ("ax", "ay", "az", "phi"), mutual: bool = False) -> DataFrame:
     """(id, ax, ay, az, phi), or those ``want``ed: softened gravity of all sources at each target, G = 1, minimum image with ``box``.
 
     Up to TILE sources (counted first) go to every task and targets aren't shuffled. Beyond that both sides are cut
     along a space-filling curve into BLOCKS blocks, or more of at most SPAN rows; every pair of blocks is one group of
     bounded size in a partition of its own, whose partial sums are added per target. When the targets are the
-    sources (one DataFrame), a pair of blocks is evaluated once for both. No pair of records ever becomes a row.
+    sources (one DataFrame), a pair of blocks is evaluated once for both. ``mutual``: so it is for two tables without
+    common ids, and the pull of the targets on the sources comes out as well. No pair of records ever becomes a row.
     """
     cols, itself, spark = ["id", "x", "y", "z", "mass"], targets is sources, sources.sparkSession
     out = "id bigint, " + ", ".join(f"{c} double" for c in want)
     sources = sources.select(*cols)
     m = sources.count()
     if m <= TILE:
+        if mutual:
+            return all_reduce(direct(targets, sources, eps, box, want), direct(sources, targets, eps, box, want))
         src = sources.toPandas()
         s, sid = src[cols[1:]].to_numpy(float), src["id"].to_numpy()
 
@@ -217,7 +220,7 @@ def direct(targets: DataFrame, sources: DataFrame, eps: float, box: float | None
         rows = rows.select(*cols, "rank", F.inline(across))
         used = [i * ns + j for i in range(ns) for j in range(i, ns)]
     else:
-        t, n, size = _in_order(targets.select(*cols[:4], F.lit(0.0).alias("mass")), scratch)
+        t, n, size = _in_order(targets.select(*cols[:4], F.col("mass") if mutual else F.lit(0.0).alias("mass")), scratch)
         nt, own = max(1, -(-n // size)), F.floor(F.col("rank") / size).cast("int")
         s = rows.select(*cols, "rank", F.explode(F.sequence(F.lit(0), F.lit(nt - 1))).alias("o"), each.alias("b")).select(*cols, "rank", (F.col("o") * ns + F.col("b")).alias("pair"), F.lit(True).alias("source"))
         t = t.select(*cols, "rank", F.explode(F.sequence(F.lit(0), F.lit(ns - 1))).alias("o"), own.alias("b")).select(*cols, "rank", (F.col("b") * ns + F.col("o")).alias("pair"), F.lit(False).alias("source"))
@@ -232,8 +235,8 @@ def direct(targets: DataFrame, sources: DataFrame, eps: float, box: float | None
         (tid, a), (sid, b) = two if not itself or len(two[1][0]) else two[:1] * 2
         if not len(tid):
             return _frame(tid, a)[["id", *want]]
-        got, back = _tiles(a, tid, b, sid, eps, box, itself, want)
-        parts = [_frame(tid, got), *[_frame(sid, back)] * (itself and a is not b)]
+        got, back = _tiles(a, tid, b, sid, eps, box, itself or mutual, want)
+        parts = [_frame(tid, got), *[_frame(sid, back)] * ((itself or mutual) and a is not b)]
         return pd.concat(parts)[["id", *want]]
 
     return all_reduce(rows.groupBy("slot").applyInPandas(block, out))

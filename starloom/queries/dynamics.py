@@ -55,8 +55,9 @@ def force_sampled(s, d, theta=0.5):
 
 
 def force_allreduce(s, d):
-    b = halo_bodies(s, d)
-    parts = [fo.direct(b, b.where(F.col("x") < 500), EPS, L), fo.direct(b, b.where(F.col("x") >= 500), EPS, L)]
+    b = Scratch(s, "bodies").keep(halo_bodies(s, d))
+    low, high = b.where(F.col("x") < 500), b.where(F.col("x") >= 500)
+    parts = [fo.direct(low, low, EPS, L), fo.direct(high, high, EPS, L), fo.direct(low, high, EPS, L, mutual=True)]
     return _r(fo.all_reduce(*parts), **A8, phi=6)
 
 

@@ -116,15 +116,16 @@ PULL, EVERY = ("ax", "ay", "az"), ("ax", "ay", "az", "phi")
 
 @pytest.mark.parametrize("name, box, want, once", [
     # one case for each query over direct sums
+    ("force_allreduce", 1000.0, EVERY, True),
     ("cmp_tree_direct", None, PULL, True),
 ])
 def test_direct_sums_are_fast_enough_for_a_catalogue(spark, name, box, want, once, monkeypatch):
     """A query sums only what it returns, and that takes a small part of the time that differences of each pair take."""
     real, seen = fo.direct, []
 
-    def spy(targets, sources, eps, box=None, want=EVERY):
-        seen.append((targets is sources, box, tuple(want)))
-        return real(targets, sources, eps, box, want)
+    def spy(targets, sources, eps, box=None, want=EVERY, mutual=False):
+        seen.append((targets is sources or mutual, box, tuple(want)))
+        return real(targets, sources, eps, box, want, mutual)
 
     monkeypatch.setattr(fo, "direct", spy)
     dynamics.QUERIES[name](spark, "/root/testdata/sf0.001")
@@ -140,6 +141,16 @@ def test_direct_sums_are_fast_enough_for_a_catalogue(spark, name, box, want, onc
     assert times[0] < 10 * times[1] / 3
 
 
+@pytest.mark.parametrize("tile", [16, 4096])
+def test_mutual_pulls(spark, bodies, tile, monkeypatch):
+    low, high = bodies.where("x < 4"), bodies.where("x >= 4")
+    want = {r["id"]: tuple(r) for r in fo.direct(bodies, bodies, 0.1, 10.0).collect()}
+    monkeypatch.setattr(fo, "TILE", tile)
+    parts = fo.direct(low, low, 0.1, 10.0), fo.direct(high, high, 0.1, 10.0), fo.direct(low, high, 0.1, 10.0, mutual=True)
+    got = {r["id"]: tuple(r) for r in fo.all_reduce(*parts).collect()}
+    assert set(got) == set(want) and all(got[i] == pytest.approx(want[i], rel=1e-9, abs=1e-9) for i in want)
+
+
 def test_slots_fill_every_partition(spark):
     at = spark.createDataFrame([(i,) for i in fo._slots(spark, 21)], "slot int").repartition(21, "slot")
     assert [r["count"] for r in at.groupBy(F.spark_partition_id()).count().collect()] == [1] * 21
