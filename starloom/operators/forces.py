@@ -265,7 +265,7 @@ def pair_forces(bodies: DataFrame, eps: float = 0.01, factor: float = 1.0) -> Da
 def energies(bodies: DataFrame, eps: float, box: float | None = None, phi: DataFrame | None = None) -> DataFrame:
     """(kinetic, potential, total); each pair counts once, as half of each partner's potential. Potentials (id, phi)
     are those of direct sums unless given."""
-    phi = direct(bodies, bodies, eps, box) if phi is None else phi
+    phi = direct(bodies, bodies, eps, box, ("phi",)) if phi is None else phi
     v2 = F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy") + F.col("vz") * F.col("vz")
     e = bodies.join(phi.select("id", "phi"), "id", "left").agg(
         F.sum(F.col("mass") * v2 / 2).alias("kinetic"), F.sum(F.col("mass") * F.coalesce("phi", F.lit(0.0)) / 2).alias("potential")
