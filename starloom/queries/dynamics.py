@@ -29,7 +29,7 @@ A3 = ("ax", "ay", "az")
 
 def force_direct(s, d):
     b = halo_bodies(s, d)
-    return _r(fo.direct(b, b, EPS, L).drop("phi"), **A8)
+    return _r(fo.direct(b, b, EPS, L, A3), **A8)
 
 
 def force_direct_mass(s, d):
