@@ -116,6 +116,7 @@ PULL, EVERY = ("ax", "ay", "az"), ("ax", "ay", "az", "phi")
 
 @pytest.mark.parametrize("name, box, want, once", [
     # one case for each query over direct sums
+    ("force_potential", None, EVERY, True),
     ("force_direct", 1000.0, PULL, True),
     ("energy", 1000.0, ("phi",), True),
     ("force_allreduce", 1000.0, EVERY, True),
