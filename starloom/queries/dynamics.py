@@ -34,7 +34,7 @@ def force_direct(s, d):
 
 def force_direct_mass(s, d):
     b = halo_bodies(s, d)
-    a = fo.direct(b, b, EPS, L).join(b.select("id", "mass"), "id")
+    a = fo.direct(b, b, EPS, L, A3).join(b.select("id", "mass"), "id")
     return a.select("id", *[F.round(F.col("mass") * F.col(f"a{x}"), 6).alias(f"f{x}") for x in "xyz"])
 
 
