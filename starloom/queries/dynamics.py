@@ -51,7 +51,7 @@ def _ranked(s, b):
 def force_sampled(s, d, theta=0.5):
     b = halo_bodies(s, d)
     every = max(1, int(1.0 / theta))
-    return _r(fo.direct(b, _ranked(s, b).where(F.col("rank") % every == 0), 0.001**0.5).drop("phi"), **A8)
+    return _r(fo.direct(b, _ranked(s, b).where(F.col("rank") % every == 0), 0.001**0.5, want=A3), **A8)
 
 
 def force_allreduce(s, d):
