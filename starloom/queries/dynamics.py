@@ -84,7 +84,7 @@ def tree_efficiency(s, d):
 
 def force_validation(s, d):
     b = halo_bodies(s, d)
-    return fo.validate(fo.direct(b, b, EPS, L), b).select("n", "unusable", "missing", (F.col("net") < 1e-9).alias("balanced"))
+    return fo.validate(fo.direct(b, b, EPS, L, A3), b).select("n", "unusable", "missing", (F.col("net") < 1e-9).alias("balanced"))
 
 
 def tree_nodes(bodies):

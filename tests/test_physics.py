@@ -116,6 +116,7 @@ PULL, EVERY = ("ax", "ay", "az"), ("ax", "ay", "az", "phi")
 
 @pytest.mark.parametrize("name, box, want, once", [
     # one case for each query over direct sums
+    ("force_validation", 1000.0, PULL, True),
     ("force_sampled", None, PULL, False),
     ("force_direct_mass", 1000.0, PULL, True),
     ("force_potential", None, EVERY, True),
