@@ -131,7 +131,9 @@ def test_direct_sums_are_fast_enough_for_a_catalogue(spark, name, box, want, onc
 
     def spy(targets, sources, eps, box=None, want=EVERY, mutual=False):
         seen.append((targets is sources or mutual, box, tuple(want)))
-        return real(targets, sources, eps, box, want, mutual)
+        with monkeypatch.context() as m:  # what a sum calls itself doesn't count
+            m.setattr(fo, "direct", real)
+            return real(targets, sources, eps, box, want, mutual)
 
     monkeypatch.setattr(fo, "direct", spy)
     dynamics.QUERIES[name](spark, "/root/testdata/sf0.001")
