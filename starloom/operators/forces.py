@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from starloom.operators import ewald as ew
 from starloom.operators import grid as gr
 from starloom.operators.skew import prefix_sums
 from starloom.runtime import Scratch
@@ -18,6 +19,7 @@ from starloom.runtime import Scratch
 TILE = 4096  # most sources that go to every task, evaluated in slices of at most SLICE pairs
 BLOCKS = 10  # that more of them are cut into, each of at least TILE and at most SPAN rows
 SPAN = 1 << 18
+MANY = 1 << 15  # records whose open potentials, in place of blocks, are split into near pairs and a mesh
 STRIP = 256  # rows of two blocks that meet at a time
 SLICE = 1 << 20
 MESH = 32**3  # cells of a field that is broadcast
@@ -195,6 +197,8 @@ def direct(targets: DataFrame, sources: DataFrame, eps: float, box: float | None
     bounded size in a partition of its own, whose partial sums are added per target. When the targets are the
     sources (one DataFrame), a pair of blocks is evaluated once for both. ``mutual``: so it is for two tables without
     common ids, and the pull of the targets on the sources comes out as well. No pair of records ever becomes a row.
+    Open potentials (with accelerations or without) of more than MANY sources at themselves are those of :func:`ewald.sums`,
+    which count every pair as well and differ by roundings.
     """
     cols, itself, spark = ["id", "x", "y", "z", "mass"], targets is sources, sources.sparkSession
     out = "id bigint, " + ", ".join(f"{c} double" for c in want)
@@ -212,6 +216,11 @@ def direct(targets: DataFrame, sources: DataFrame, eps: float, box: float | None
 
         return targets.select(*cols[:4]).mapInPandas(close, out)
     scratch = Scratch(spark, "direct")
+    if itself and box is None and "phi" in want and m > MANY:
+        sources = scratch.keep(sources)
+        parts = ew.sums(sources, m, eps, want)
+        if parts is not None:
+            return all_reduce(*parts)
     rows, n, size = _in_order(sources, scratch)
     ns, each = -(-n // size), F.floor(F.col("rank") / size).cast("int")
     if itself:

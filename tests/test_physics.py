@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from starloom.functions import cosmology as co
 from starloom.functions import vectors as ve
 from starloom.operators import domain as dm
+from starloom.operators import ewald as ew
 from starloom.operators import forces as fo
 from starloom.operators import grid as gr
 from starloom.operators import halos as ha
@@ -149,6 +150,42 @@ def test_direct_sums_are_fast_enough_for_a_catalogue(spark, name, box, want, onc
     assert times[0] < 10 * times[1] / 3
 
 
+def _catalogue(spark, n, box=100.0):
+    rng = np.random.default_rng(8)
+    x = np.column_stack([rng.random((n, 3)) * box, rng.random(n)])
+    x[1, :3], x[2, :3], x[3, :3], x[4, :3], x[5, :3] = x[0, :3], x[0, :3] + 0.01, x[0, :3] + 1.0, 0.0, box  # one place, close by, corners
+    pdf = pd.DataFrame({"id": rng.permutation(n), "x": x[:, 0], "y": x[:, 1], "z": x[:, 2], "mass": x[:, 3]})
+    return spark.createDataFrame(pdf), x, pdf["id"].to_numpy()
+
+
+@pytest.mark.parametrize("eps", [0.0, 0.1])
+def test_potentials_of_a_large_catalogue_take_no_sum_of_all_blocks(spark, eps, monkeypatch):
+    """force_potential: beyond MANY records the blocks don't all meet, and every pair still counts, to roundings."""
+    for module, name, value in ((fo, "TILE", 64), (fo, "MANY", 64), (ew, "MESH", 96)):
+        monkeypatch.setattr(module, name, value, raising=False)
+    monkeypatch.setattr(fo, "_in_order", lambda *a: pytest.fail("blocks that all meet"))
+    df, x, ids = _catalogue(spark, 3000)
+    got = fo.direct(df, df, eps).toPandas().set_index("id")
+    want = fo._kernel(x[:, :3], ids, x, ids, eps, None)
+    assert len(got) == 3000 and got.index.is_unique
+    off = np.abs(got.loc[ids, ["ax", "ay", "az", "phi"]].to_numpy() - want)
+    assert (off <= 1e-12 * (np.abs(want) + np.abs(want[:, 3:]).mean())).all()
+
+
+def test_what_the_mesh_cannot_take_is_summed_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(fo, "TILE", 64)
+    monkeypatch.setattr(fo, "MANY", 64)
+    df, x, ids = _catalogue(spark, 300)
+    far, nan = (df.withColumn("x", F.when(F.col("id") == 7, F.lit(v)).otherwise(F.col("x"))) for v in (1e9, float("nan")))  # a clump; no number
+    for odd, eps in ((far, 0.1), (nan, 0.1), (df.withColumn("id", F.col("id") % 299), 0.1), (df.withColumns({c: F.lit(1.0) for c in "xyz"}), 0.1), (df, 90.0)):
+        assert ew.sums(odd, 300, eps, ("phi",)) is None
+    twice = df.withColumn("id", F.col("id") % 299)
+    got = {r["id"]: r["phi"] for r in fo.direct(twice, twice, 0.1, want=("phi",)).collect()}
+    own = ids % 299
+    want = pd.Series(fo._kernel(x[:, :3], own, x, own, 0.1, None)[:, 3]).groupby(own).sum()
+    assert len(got) == 299 and all(got[i] == pytest.approx(want[i], rel=1e-9) for i in got)
+
+
 @pytest.mark.parametrize("tile", [16, 4096])
 def test_mutual_pulls(spark, bodies, tile, monkeypatch):
     low, high = bodies.where("x < 4"), bodies.where("x >= 4")
